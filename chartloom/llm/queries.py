@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import ExactDedup
 from .jaccard_join import NgramJaccardJoin
 
 
@@ -11,8 +12,13 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJaccardJoin(shingle=3, percent=90).components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ExactDedup().groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op5_exact_dedup": op5_exact_dedup,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -29,4 +35,8 @@ ORACLES = {
         r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.d)
         SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(m) AS component_id
         FROM documents JOIN r ON r.d = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op5_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
 }

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 """Texts are handled in runs of about this many bytes (one text at least)."""
 
 _RNG = np.random.default_rng(20240607)
@@ -32,7 +32,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and its inverse modulo 2**64, for i up to n at least."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
+        size = max(1 << 16, n + n // 8 + 2)
         with np.errstate(over="ignore"):
             up = np.full(size, base & (2**64 - 1), np.uint64)
             down = np.full(size, pow(base, -1, 1 << 64), np.uint64)

@@ -6,19 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import ExactDedup
 from .jaccard_join import NgramJaccardJoin
+from .packing import SequencePacker
+from .warc_zstd import WarcArchive
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJaccardJoin(shingle=3, percent=90).components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = WarcArchive(spark)
+    manifest = archive.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return archive.read(manifest, with_payload=False).drop("url")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup().groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return SequencePacker(tokenizer or tokenizer_path()).pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary, where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op4_warc_zstd": op4_warc_zstd,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -39,4 +60,10 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op4_warc_zstd": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to FROM q""",
 }

@@ -34,6 +34,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared(spark)}/{_ROOT}/{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -49,3 +50,13 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes of the batches handed to Python, so that long texts do not make large ones.
+
+    Left alone where the session has its own bound.  Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b") or 0) >= 2**31 - 1:
+        spark.conf.set(name, size)

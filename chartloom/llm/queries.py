@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import ExactDedup
 from .jaccard_join import NgramJaccardJoin
 from .packing import SequencePacker
+from .pii import PiiFinder
+from .secret_scan import SecretScanner
+from .substring_dedup import SubstringDedup
 from .warc_zstd import WarcArchive
 
 
@@ -24,10 +27,22 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup().groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SubstringDedup(window=35).report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PiiFinder().find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return SequencePacker(tokenizer or tokenizer_path()).pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SecretScanner().scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def tokenizer_path() -> str:
     """The public byte-level BPE vocabulary, where it is installed."""
     import public_tokenizers
@@ -39,7 +54,10 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op4_warc_zstd": op4_warc_zstd,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_pii": op8_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -66,4 +84,13 @@ ORACLES = {
         SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
                CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to FROM q""",
+    "op6_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM w, range(1, len(w) - 33) r(i)),
+        d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM g) WHERE c > 1),
+        x AS (SELECT DISTINCT doc_id, i + j AS p FROM d, range(35) r(j)),
+        l AS (SELECT doc_id, list(p) AS gone FROM x GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda v, k: gone IS NULL OR NOT list_contains(gone, k)), ' ')) AS kept_sha256
+        FROM w LEFT JOIN l USING (doc_id)""",
 }

@@ -45,3 +45,20 @@ def flagged(df: DataFrame, key: str, bloom: DataFrame, words: int, flag: str) ->
     out = df.join(side, word == F.col(f"{flag}_w"), "left")
     hit = F.coalesce(F.col(f"{flag}_b").bitwiseAND(mask) == mask, F.lit(False))
     return out.withColumn(flag, hit).drop(f"{flag}_w", f"{flag}_b")
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``df`` less the rows whose id is in ``ids`` (one column, no null); only rows that may be are shuffled."""
+    name = ids.columns[0]
+    n = 1
+    while any(f"{'_' * n}gone{x}" in (c.lower() for c in df.columns) for x in ("", "_w", "_b", "_k")):
+        n += 1
+    flag = "_" * n + "gone"
+    words = words_for(ids.count())
+    made = of(ids.select(F.xxhash64(F.col(name).cast("long")).alias(flag)), flag, words)
+    key = f"{flag}_k"
+    seen = flagged(df.withColumn(key, F.xxhash64(F.col(id_col).cast("long"))), key, made, words, flag)
+    straight = seen.where(~F.col(flag) | F.col(id_col).isNull()).select(*df.columns)
+    some = seen.where(F.col(flag) & F.col(id_col).isNotNull()).select(*df.columns)
+    gone = ids.select(F.col(name).alias(key)).distinct()
+    return straight.unionByName(some.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti"))

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import words as W
 from .components import connected
 from .scratch import Scratch
@@ -282,7 +283,7 @@ class NgramJaccardJoin:
     An empty table gives an empty result.
     """
 
-    def __init__(self, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", turns: int = 1):
+    def __init__(self, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", turns: int = 3):
         self.turns = turns
         self.shingle, self.percent, self.id_col, self.text_col = shingle, percent, id_col, text_col
 
@@ -307,21 +308,22 @@ class NgramJaccardJoin:
         shape = "node long, items binary, " + ", ".join(f"k{i} long" for i in range(SKETCH_LONGS))
         sets = scratch.keep(src.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets("text", self.shingle), shape), "sets")
 
-        links = self._verified(stars, met, sets, scratch, "links0")
+        links = self._verified(self._close(stars, sets), sets, scratch, "links0")
         roots = connected(links, scratch, "c0_")
         for turn in range(1, self.turns + 1):
             side, rows_, pairs = self._mixed(met, roots, sets, scratch)
-            if pairs <= 16 * rows_:
+            if pairs <= 64 * rows_:
                 break
             pivot = side.groupBy("sig").agg(F.expr(f"min_by(node, xxhash64(node, {turn}))").alias("b"))
             tries = side.join(pivot, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-            found = self._verified(self._apart(tries, roots), met, sets, scratch, f"links{turn}")
+            found = self._verified(self._close(self._apart(tries, roots), sets), sets, scratch, f"links{turn}")
             if found.isEmpty():
                 break
             links = links.union(found)
             roots = connected(links, scratch, f"c{turn}_")
+        else:
             side, *_ = self._mixed(met, roots, sets, scratch)
-        links = links.union(self._verified(self._crossing(side), met, sets, scratch, "links"))
+        links = links.union(self._verified(self._crossing(side), sets, scratch, "links"))
         roots = connected(links, scratch, "c_")
         scratch.drop("met", "stars", "sets", "mixed")
 
@@ -332,9 +334,10 @@ class NgramJaccardJoin:
         return out.union(empty)
 
     def deduplicate(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with one document of each component: the one with the least id."""
-        keep = self.components(docs).where("doc_id = component_id").select(F.col("doc_id").alias(self.id_col)).distinct()
-        return docs.join(keep, self.id_col, "left_semi")
+        """``docs`` with one document of each component: the one with the least id.  Null ids stay."""
+        scratch = Scratch(docs.sparkSession)
+        gone = scratch.keep(self.components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+        return bloom.without(docs, self.id_col, gone)
 
     def _near(self, p: str, q: str) -> str:
         """SQL: the sizes and sketches of p and q leave a link possible."""
@@ -342,12 +345,15 @@ class NgramJaccardJoin:
         most = f"{p}.size + {q}.size - 2 * ceil({self.percent} * ({p}.size + {q}.size) / {100 + self.percent}.0)"
         return f"100 * {p}.size >= {self.percent} * {q}.size AND 100 * {q}.size >= {self.percent} * {p}.size AND {differ} <= {most}"
 
-    def _verified(self, pairs: DataFrame, met: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-        """The pairs (a, b) that link, by their whole sets."""
+    def _close(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose sizes and sketches leave a link possible."""
         brief = sets.withColumn("size", F.expr("length(items) div 8")).drop("items")
         close = pairs.alias("e").join(brief.alias("p"), F.expr("e.a = p.node")).join(brief.alias("q"), F.expr("e.b = q.node"))
-        close = close.where(self._near("p", "q")).select("e.a", "e.b")
-        full = close.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left_items")), "a")
+        return close.where(self._near("p", "q")).select("e.a", "e.b")
+
+    def _verified(self, pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """The pairs (a, b) that link, by their whole sets."""
+        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left_items")), "a")
         full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right_items")), "b")
         full = full.select("a", "b", "left_items", "right_items")
         seen = full.mapInArrow(_verify(self.percent), "a long, b long, ok boolean")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import BenchmarkDecontamination
 from .exact_dedup import ExactDedup
 from .jaccard_join import NgramJaccardJoin
 from .packing import SequencePacker
 from .pii import PiiFinder
+from .quality import QualityClassifier
 from .secret_scan import SecretScanner
 from .substring_dedup import SubstringDedup
+from .toxicity import ToxicityClassifier
 from .warc_zstd import WarcArchive
 
 
@@ -17,6 +20,17 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJaccardJoin(shingle=3, percent=90).components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    tool = ToxicityClassifier(folds=5, held=0)
+    return tool.score(docs, tool.train(docs, labels))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return BenchmarkDecontamination().matches(docs, benchmark)
+
+
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = WarcArchive(spark)
     manifest = archive.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -31,6 +45,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SubstringDedup(window=35).report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return QualityClassifier(folds=3, held=1).score(docs, labels)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PiiFinder().find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -52,9 +71,12 @@ def tokenizer_path() -> str:
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_warc_zstd": op4_warc_zstd,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,

@@ -5,7 +5,8 @@ upper case, digits, other letters; marks as they are).  Each symbol has a fixed
 sparse random index vector, drawn by hash.  The context vector of a symbol is the
 sum of the index vectors of the words beside it over the whole corpus; as that
 is a sum of integers, partial sums of any partitioning add up to the same vectors.
-A document is pooled into the mean and spread of its normalised vectors.
+A document is pooled into the mean and spread of its normalised vectors and the
+mean step between neighbours.
 A network of two layers, written in numpy, learns quality from a bounded
 sample; a temperature fitted on a part it has not seen calibrates its probabilities.
 """
@@ -25,6 +26,8 @@ from .scratch import Scratch, small_batches
 
 BUCKETS = 1 << 14
 DIMS = 32
+INPUTS = 4 * DIMS + 2
+"""Mean and spread for words and for shapes, the mean step, the log of the length."""
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = 97
 _CLASS[65:91] = 65
@@ -100,10 +103,10 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pooled(w: W.Words, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the vectors of each text's words and shapes, and the log of its length."""
+    """What the vectors of each text's words and shapes come to (see ``INPUTS``)."""
     n = np.diff(w.first)
     some = np.flatnonzero(n)
-    out = np.zeros((len(n), 4 * DIMS + 1), np.float32)
+    out = np.zeros((len(n), INPUTS), np.float32)
     if len(some):
         count = n[some, None].astype(np.float32)
         for k, h in enumerate(symbols(w)):
@@ -112,6 +115,12 @@ def pooled(w: W.Words, vectors: np.ndarray) -> np.ndarray:
             square = np.add.reduceat(v * v, w.first[:-1][some], axis=0) / count
             out[some, 2 * k * DIMS : (2 * k + 1) * DIMS] = mean
             out[some, (2 * k + 1) * DIMS : (2 * k + 2) * DIMS] = np.sqrt(np.maximum(square - mean * mean, 0))
+            if k == 0 and len(v) > 1:
+                # How far neighbouring words are apart: little where one word is repeated.
+                step = np.zeros(len(v), np.float32)
+                step[1:] = np.square(v[1:] - v[:-1]).sum(1)
+                step[w.first[:-1][some]] = 0
+                out[some, -2] = np.add.reduceat(step, w.first[:-1][some]) / np.maximum(count[:, 0] - 1, 1)
     out[:, -1] = np.log1p(n)
     return out
 
@@ -176,7 +185,7 @@ _TEMPERATURES = np.geomspace(0.5, 8, 33)
 def text_pools(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
     found = [pooled(w, vectors) for _, _, w in W.rows(batch, "text")]
-    return np.concatenate(found).astype(np.float64) if found else np.zeros((0, 4 * DIMS + 1))
+    return np.concatenate(found).astype(np.float64) if found else np.zeros((0, INPUTS))
 
 
 def _scorer(model: Network, vectors: np.ndarray, keep: list[str]):
@@ -216,7 +225,7 @@ class QualityClassifier:
     def train(self, docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
         allowed = remainder(F.col("doc_id"), self.folds) != self.held
         texts, marks, share = sample(docs.select("doc_id", "text"), labels, "quality", allowed, self.each)
-        return Network(4 * DIMS + 1).fit(text_pools(texts, vectors), np.array(marks, np.float64), share)
+        return Network(INPUTS).fit(text_pools(texts, vectors), np.array(marks, np.float64), share)
 
     def score(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """(doc_id, held_out, score, predicted), a row for each row of ``docs``."""

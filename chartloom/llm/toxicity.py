@@ -83,34 +83,68 @@ class NaiveBayesLinear:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(features: list[np.ndarray], labels: list[int], share: float, smooth: float = 1.0, ridge: float = 0.05, rounds: int = 120) -> NaiveBayesLinear:
-    """Naive Bayes ratios, then ridge logistic regression by Nesterov's accelerated gradient."""
+def fit(features: list[np.ndarray], labels: list[int], share: float, smooth: float = 1.0, ridge: float = 0.02, rounds: int = 80) -> NaiveBayesLinear:
+    """Naive Bayes ratios and ridge logistic regression on four fifths, calibrated on the rest.
+
+    Features of one text, or whose ratio is within a factor of 1.3 of none, are left out.
+    The calibration is a logistic regression of the label on the score, its two sides
+    weighed as ``share`` says.
+    """
     size, y = 1 << BITS, np.array(labels, np.float64)
-    if not len(y) or y.min() == y.max():
-        return NaiveBayesLinear(np.zeros(size), np.log(share / (1 - share)))
+    prior = NaiveBayesLinear(np.zeros(size), np.log(share / (1 - share)))
+    test = np.arange(len(y)) % 5 == 4
+    if min(y[~test].sum(), (1 - y[~test]).sum()) < 1:
+        return prior
     flat = np.concatenate(features)
-    ends = np.concatenate([[0], np.cumsum([len(f) for f in features])])
-    owner = np.repeat(np.arange(len(y)), np.diff(ends))
-    toxic = np.bincount(flat, y[owner], size) + smooth
-    clean = np.bincount(flat, 1 - y[owner], size) + smooth
-    ratio = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
-    ratio[(toxic + clean - 2 * smooth) < 2] = 0.0
-    scaled = ratio[flat]
-    w, b = np.zeros(size), 0.0
-    norms = np.bincount(owner, scaled**2, len(y))
-    step = 4.0 / (np.percentile(norms, 99) + 1.0)
-    v, vb, t = w.copy(), b, 1.0
+    owner = np.repeat(np.arange(len(y)), [len(f) for f in features])
+    use = ~test[owner]
+    toxic = np.bincount(flat[use], y[owner[use]], size) + smooth
+    clean = np.bincount(flat[use], 1 - y[owner[use]], size) + smooth
+    ratio = np.log(toxic / (y[~test].sum() + 2 * smooth)) - np.log(clean / ((1 - y[~test]).sum() + 2 * smooth))
+    ratio[(toxic + clean - 2 * smooth < 2) | (np.abs(ratio) < np.log(1.3))] = 0.0
+    keep = ratio[flat] != 0
+    flat, owner = flat[keep], owner[keep]
+    train = ~test[owner]
+    f, o = flat[train], owner[train]
+    scaled = ratio[f]
+    w, b, n = np.zeros(size), 0.0, int((~test).sum())
+    # The mean of squared norms bounds the curvature from below; steps shrink where the loss would rise.
+    step = 16.0 / (np.bincount(o, scaled**2, len(y))[~test].mean() + 1.0)
+    v, vb, t, last = w.copy(), b, 1.0, np.inf
     for _ in range(rounds):
-        z = np.bincount(owner, scaled * v[flat], len(y)) + vb
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        grad = np.bincount(flat, scaled * g[owner], size) + ridge * v / len(y)
-        nw, nb = v - step * grad, vb - step * g.sum()
+        z = (np.bincount(o, scaled * v[f], len(y)) + vb)[~test]
+        loss = np.logaddexp(0, np.where(y[~test] == 1, -z, z)).mean() + 0.5 * ridge * (v @ v) / n
+        if loss > last:
+            step, t, v, vb, last = step / 2, 1.0, w.copy(), b, np.inf
+            continue
+        last = loss
+        g = np.zeros(len(y))
+        g[~test] = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[~test]) / n
+        nw, nb = v - step * (np.bincount(f, scaled * g[o], size) + ridge * v / n), vb - step * g.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    here = y.mean()
-    shift = np.log(share / (1 - share)) - np.log(here / (1 - here))
-    return NaiveBayesLinear(w * ratio, b + shift)
+    z = (np.bincount(owner, (w * ratio)[flat], len(y)) + b)[test]
+    slope, shift = platt(z, y[test], share)
+    return NaiveBayesLinear(w * ratio * slope, b * slope + shift)
+
+
+def platt(z: np.ndarray, y: np.ndarray, share: float, rounds: int = 100) -> tuple[float, float]:
+    """(slope, shift) of a logistic regression of y on z by damped Newton steps, with smoothed targets."""
+    pos, neg = y.sum(), (1 - y).sum()
+    if not pos or not neg:
+        return 1.0, 0.0
+    weight = np.where(y == 1, share / pos, (1 - share) / neg) * len(y)
+    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    scale = max(1e-9, float(np.std(z)))
+    x = np.stack([z / scale, np.ones(len(z))])
+    a = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ x, -40, 40)))
+        h = (x * (weight * p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
+        d = np.linalg.solve(h, x @ (weight * (p - target)) + 1e-3 * a)
+        a = a - d * min(1.0, 2.0 / (np.abs(d).max() + 1e-12))
+    return float(a[0] / scale), float(a[1])
 
 
 def _scorer(model: NaiveBayesLinear):

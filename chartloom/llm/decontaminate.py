@@ -6,7 +6,7 @@ such template words of the benchmark are hashed and joined with windows of the
 documents.  The documents' windows start at every third word, so that every
 shared run of seven template words or more is met.  Where a document and an
 item meet, the two are laid over each other at that offset and compared word by
-word: a word counts where the templates agree in a run of five words or more and,
+word: a word counts where templates, or words but for case, agree in a run of five words or more and,
 at a placeholder, where the item's value goes to one value of the document throughout
 (slot consistency).  A document is contaminated by an item when such words
 make up ``percent`` of the item.
@@ -107,7 +107,7 @@ class BenchmarkDecontamination:
             F.slice("raw", low + F.col("shift") + 1, high - low).alias("draw"), F.slice("tpl", low + F.col("shift") + 1, high - low).alias("dtpl"),
         )
         pairs = cut.select("row", "doc_id", "item", "item_id", "shift", "size", "low", F.posexplode(F.arrays_zip("iraw", "itpl", "draw", "dtpl")).alias("k", "w"))
-        pairs = pairs.select("row", "doc_id", "item", "item_id", "shift", "size", (F.col("low") + F.col("k")).alias("at"), "w.*").where("itpl = dtpl")
+        pairs = pairs.select("row", "doc_id", "item", "item_id", "shift", "size", (F.col("low") + F.col("k")).alias("at"), "w.*").where("itpl = dtpl OR lower(iraw) = lower(draw)")
         # Runs of agreeing words: places less their rank in the run are constant.
         order = "PARTITION BY row, item, shift ORDER BY at"
         pairs = pairs.withColumn("run", F.expr(f"at - row_number() OVER ({order})"))

@@ -11,10 +11,12 @@ signature for each of the band's segments, and sets meet where signatures do.
 * **Allocation.**  A segment can be read *exactly* (its signature counts one
   difference) or with its *one-deletion neighbourhood* (the segment less
   each one of its shingles; counts two, for about one signature a shingle).
-  ``plan_band`` picks for each band the numbers of the two kinds that satisfy
+  ``plan_need`` picks for each band the numbers of the two kinds that satisfy
   the pigeonhole bound at the least cost: signatures made, plus the chance that
-  unlike sets meet in small segments.  Small bands get one-deletion segments,
-  whose larger subsets are rarely alike by chance; large bands exact ones.
+  unlike sets meet in small segments.  Exact segments can come with *spare*
+  ones: with s more than needed, linked sets share s + 1 segments, and so one
+  that is not empty if either has at most s empty ones; a set that does then
+  publishes no empty segments, in which all sets would meet.
 * **Verification.**  Sets that meet are compared whole.
 
 Groups of copies never become all pairs.  Equal sets are one node.  In a bucket
@@ -67,29 +69,62 @@ def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low), np.array(high)
 
 
-def plan_band(low: int, high: int, percent: int) -> tuple[int, int]:
-    """(exact segments, one-deletion segments) for pairs whose smaller set is in the band."""
-    worst = max(max_difference(a, b, percent) for a in range(low, high + 1) for b in (a, max_partner(a, percent)))
-    best, need = (float("inf"), worst + 1, 0), worst + 1
-    for pairs in range(need // 2 + 1):
+NEIGHBOURHOODS_BELOW = 64
+"""Sizes up to which one-deletion segments are weighed; they make about as many signatures as shingles."""
+
+
+def _alike(tokens: float, deleted: bool) -> float:
+    """Chance that a segment looks alike in unlike sets because all its shingles are of a passage both hold.
+
+    Taken as: a third of the sets hold such passages, which make up a third of their shingles.
+    """
+    own, common = tokens * 2 / 3, 1 - np.exp(-tokens / 3)
+    return np.exp(-own) * (1 + own * deleted) * common / 3
+
+
+@lru_cache(maxsize=None)
+def plan_need(low: int, need: int) -> tuple[int, int, int]:
+    """(exact segments, one-deletion segments, spare segments) that bear ``need`` - 1 differences at the least cost.
+
+    The cost is the signatures made plus 400 for each segment in which a set is expected to meet
+    unlike ones: segments with no shingle, or with one to delete, or with common passages only.
+    """
+    spare = 0
+    if low >= NEIGHBOURHOODS_BELOW:
+        # The mean number of empty segments and four deviations: more empty ones are rare.
+        for _ in range(30):
+            mean = (need + spare) * np.exp(-low / (need + spare))
+            spare = int(np.ceil(mean + 4 * np.sqrt(mean))) if mean > 0.01 else 0
+        return need + spare, 0, spare
+    best = (float("inf"), need, 0, 0)
+    for spare in range(need + 8):
+        m = need + spare
+        mean = m * np.exp(-low / m)
+        few = term = np.exp(-mean)
+        for k in range(1, spare + 1):
+            term *= mean / k
+            few += term
+        best = min(best, (m + 400 * (mean * max(0.0, 1 - few) + m * _alike(low / m, False)), m, 0, spare))
+    for pairs in range(1, need // 2 + 1):
         single = need - 2 * pairs
-        segments = single + pairs
-        tokens = low / segments
+        tokens = low / (single + pairs)
         made = single + pairs * (tokens + 1)
-        # Chance meetings: a subset of r shingles is alike in unlike sets mostly when r is 0, 1 or 2.
-        chance = single * np.exp(-tokens) + 2 * pairs * (1 + tokens) * np.exp(-tokens)
-        cost = made + 400 * chance
-        if cost < best[0]:
-            best = cost, single, pairs
-    return best[1], best[2]
+        bare = single * np.exp(-tokens) + pairs * (1 + tokens) * np.exp(-tokens)
+        best = min(best, (made + 400 * (bare + single * _alike(tokens, False) + pairs * _alike(tokens, True)), single, pairs, 0))
+    return best[1:]
+
+
+def plan_band(low: int, high: int, percent: int) -> tuple[int, int, int]:
+    """The plan for pairs whose smaller set is in the band."""
+    # What two sets can differ in grows with their sizes, but for rounding.
+    worst = max(max_difference(a, b, percent) for a in range(max(low, high - 20), high + 1) for b in range(max(a, max_partner(a, percent) - 20), max_partner(a, percent) + 1))
+    return plan_need(low, worst + 1)
 
 
 @lru_cache(maxsize=None)
-def plans(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
+def plans(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low, high = bands(percent, upto)
-    # The plan of a large band follows from the few sizes at its ends.
-    made = [plan_band(a, b, percent) if b < 400 else (max(max_difference(x, y, percent) for x in (b - 1, b) for y in (x, max_partner(x, percent))) + 1, 0) for a, b in zip(low, high)]
-    return np.array([x for x, _ in made]), np.array([y for _, y in made])
+    return tuple(np.array(x) for x in zip(*(plan_band(int(a), int(b), percent) for a, b in zip(low, high))))
 
 
 def shingle_sets(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +178,7 @@ def parity_sketch(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def signatures(value: np.ndarray, owner: np.ndarray, size: np.ndarray, band: np.ndarray, percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
     """(owner, signature) of sets under the plans of the given bands; one band for each set."""
-    exact, near = plans(percent, upto)
+    exact, near, spares = plans(percent, upto)
     with np.errstate(over="ignore"):
         singles, segments = exact[band], (exact + near)[band]
         base = np.concatenate([[0], np.cumsum(segments)])
@@ -157,7 +192,12 @@ def signatures(value: np.ndarray, owner: np.ndarray, size: np.ndarray, band: np.
         who = np.repeat(np.arange(len(size)), segments)
         number = np.arange(base[-1]) - base[who]
         key = W.mix((band[who].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64), 23)
+        # A set with no more empty segments than spare ones shares one that is not empty with each partner.
+        empty = np.bincount(at, minlength=base[-1]) == 0
+        holes = np.bincount(who[empty], minlength=len(size))
         made_who, made = [who], [W.mix(whole + key, 24)]
+        show = ~(empty & ((spares[band] > 0) & (holes <= spares[band]))[who])
+        made_who, made = [who[show]], [made[0][show]]
         fuzzy = inner >= singles[owner]
         if fuzzy.any():
             made_who.append(owner[fuzzy])
@@ -283,7 +323,7 @@ class NgramJaccardJoin:
     An empty table gives an empty result.
     """
 
-    def __init__(self, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", turns: int = 3):
+    def __init__(self, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", turns: int = 1):
         self.turns = turns
         self.shingle, self.percent, self.id_col, self.text_col = shingle, percent, id_col, text_col
 

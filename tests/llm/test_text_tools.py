@@ -1,0 +1,213 @@
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from chartloom.llm import pii, secret_scan, toxicity, warc_zstd
+from chartloom.llm.decontaminate import BenchmarkDecontamination
+from chartloom.llm.packing import Encoder, SequencePacker
+from chartloom.llm.quality import QualityClassifier
+from chartloom.llm.queries import tokenizer_path
+
+DOCS = "doc_id long, text string"
+
+
+def luhn_card(rng, n=16):
+    digits = [rng.randrange(10) for _ in range(n - 1)]
+    return next(c for d in range(10) if pii.luhn(c := "".join(map(str, [*digits, d]))))
+
+
+def test_pii_base_equals_the_stated_patterns(spark):
+    rng = random.Random(5)
+    bits = ["a.b+c@x-y.example.com", "@", "a@b", "x@y.z@w.v", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6", "000.0.0.00001", "+1 (415) 555-0199", "+1", "+12345678", "+1(2", "4111 1111 1111 1111", "4111111111111112", "12-34", luhn_card(rng), luhn_card(rng, 13), "é", "the", "\n", "9" * 25, ".", "-"]
+    docs = [(i, rng.choice(["", " "]).join(rng.choice(bits) for _ in range(rng.randrange(25)))) for i in range(250)] + [(250, None), (251, "")]
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    fine = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 13 <= len(digits(s)) <= 19 and pii.luhn(digits(s)), "phone": lambda s: 9 <= len(digits(s)) <= 15}
+    want = {i: [f"{k}:{m.start()}:{m.end()}" for k, p in patterns.items() for m in re.finditer(p, t or "") if fine[k](m[0])] for i, t in docs}
+    for r in pii.PiiFinder().find(spark.createDataFrame(docs, DOCS)).collect():
+        base = want[r["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("ident")] == base
+        assert r["n_card"] == sum(s.startswith("card") for s in base)
+    assert pii.PiiFinder().find(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_pii_patterns_discover_identifiers(spark):
+    rng = random.Random(6)
+    docs = [(i, f"text {rng.choice('abcd')} please reach member line {luhn_card(rng)} now") for i in range(30)]
+    docs += [(100, "text please reach member line 88123345 now"), (101, "plain prose of the year 1999 and 20240 more")]
+    got = {r["doc_id"]: r["spans"] for r in pii.PiiFinder().find(spark.createDataFrame(docs, DOCS)).collect()}
+    a = docs[30][1].index("88123345")
+    assert got[100] == f"ident:{a}:{a + 8}" and got[101] == ""
+
+
+def test_secret_base_equals_the_stated_patterns(spark):
+    rng = random.Random(7)
+    bits = ['password="', "API_KEY: ", "apikey=", "Secret' = '", "token:", "abcDEF123/+x.=", "short", "AKIA", "AKIA0123456789ABCD", "deadbeef" * 3, "0123456789abcde", "é", " ", "\n", "=", "ſecret=", "x" * 30]
+    docs = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(14)))) for i in range(250)] + [(250, None)]
+    assign = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    for r in secret_scan.SecretScanner().scan(spark.createDataFrame(docs, DOCS)).collect():
+        t = dict(docs)[r["doc_id"]] or ""
+        spans = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in assign.finditer(t) if len(m[1]) >= 12]
+        spans += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        base = [s for *_, s in sorted(spans)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("format")] == base
+
+
+def test_automata_tell_formats_from_words():
+    rng = random.Random(9)
+    made = secret_scan.train({"access": ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)) for _ in range(200)], "few": ["x"]})
+    assert list(made) == ["access"] and made["access"].states < 40
+    like = "ASIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    assert secret_scan.ratio(like, made) > 0.4 > secret_scan.ratio("internationalization", made)
+
+
+def test_warc_round_trip(spark, tmp_path):
+    long = "<p>" + "long page é " * 200
+    rows = [(1, "http://a", long), (2, "http://b", long), (3, "c\r\nd", None), (4, None, "short"), (5, "e", "short"), (6, "f", "WARC/1.1\r\n\r\n" + long), (None, "g", ""), (7, "h", long)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    archive = warc_zstd.WarcArchive(spark, str(tmp_path / "w"))
+    got = {r["page_id"]: r for r in archive.read(archive.write(df)).collect()}
+    assert len(got) == 8
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        assert got[i]["payload_bytes"] == len(raw) and got[i]["payload_digest"] == hashlib.sha1(raw).hexdigest()
+        assert got[i]["record_type"] == ("revisit" if i in (1, 2) else "response") and got[i]["refers_to"] == (7 if i in (1, 2) else None)
+        assert got[i]["payload"] is None if i in (1, 2) else bytes(got[i]["payload"]) == raw
+    assert archive.write(df.limit(0)).count() == 0
+
+
+def test_warc_dictionaries_and_errors():
+    raw = warc_zstd.record("response", "urn:page:1", "u", "1970-01-01T00:00:00Z", "2jmj7l5rSW0yVb/vlWAYkK/YBwk=", b"")
+    rec = warc_zstd.record("response", "urn:page:1", "u", "1970-01-01T00:00:00Z", __import__("base64").b32encode(hashlib.sha1(b"hi").digest()).decode(), b"hi")
+    words = zstandard.train_dictionary(1024, [b"sample %d of some text that repeats %d" % (i, i * 7) for i in range(400)])
+    frame = zstandard.ZstdCompressor(dict_data=words).compress(rec)
+    for stored in (words.as_bytes(), zstandard.compress(words.as_bytes())):
+        found = list(warc_zstd.frames(io.BytesIO(warc_zstd.dictionary_frame(stored) + frame + frame)))
+        assert found == [rec, rec] and warc_zstd.read_record(found[0])["payload"] == b"hi"
+    with pytest.raises(warc_zstd.WarcError):
+        list(warc_zstd.frames(io.BytesIO(frame[:-3])))
+    for bad in (rec[:-1], rec.replace(b"WARC/1.1", b"WRAC/1.1"), rec.replace(b"hi\r\n", b"ho\r\n"), rec.replace(b"WARC-Date", b"WARC-Dote")):
+        with pytest.raises(warc_zstd.WarcError):
+            warc_zstd.read_record(bad)
+    assert warc_zstd.parse(raw)[0]["warc-type"] == "response"
+
+
+def test_encoder_gives_the_library_ids():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    texts = ["", " ", "  ", "a  b", "a   b", "x\n\n  y", "\n x", "a \n b", "it's 's 're", "don't, 12 34.5!", "é è\t z ", "Ünïcödé word.", "<|endoftext|> x", "a  b", "日本語 text 🙂 ok", "THE!! CAT### end:"]
+    rng = random.Random(2)
+    texts += ["".join(rng.choice(" abZé,.!?'\n\t12$") for _ in range(60)) for _ in range(300)]
+    got = Encoder(tokenizer_path(), limit=50)(texts)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_places_every_piece(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([1, 5, 30, 70, 200, 500])))) for i in range(400)] + [(500, None), (501, ""), (500, None)]
+    cap = 128
+    rows = SequencePacker(tokenizer_path(), capacity=cap).pack(spark.createDataFrame(docs, DOCS)).collect()
+    enc, total, pieces = Encoder(tokenizer_path()), 0, {}
+    for i, t in docs:
+        ids = enc([t or ""])[0] + bytes(4)
+        n = len(ids) // 4
+        total += n
+        first = n % cap or cap
+        edges = [0, *range(first, n + 1, cap)]
+        for k in range(len(edges) - 1):
+            pieces.setdefault((i, k, edges[k], edges[k + 1] - edges[k], zlib.crc32(ids[4 * edges[k] : 4 * edges[k + 1]])), []).append(1)
+    got, bins = {}, {}
+    for r in rows:
+        got.setdefault((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]), []).append(1)
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert got == pieces
+    for spans in bins.values():
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+        assert at <= cap
+    assert len(bins) <= -(-total // cap) * 1.03 + 1
+    assert SequencePacker(tokenizer_path()).pack(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def items(rng):
+    words = [f"{a}{b}" for a in ("ba", "co", "di", "fu", "ge", "ha") for b in ("lan", "mor", "net", "pol", "rus", "tik", "vex", "zor")]
+    return [" ".join(rng.choice(words) for _ in range(30)) for _ in range(8)] + ["Anna has 12 apples and gives 5 apples to Bert so how many apples does Anna have after walking 3 km to the old market near the river", None, "too short"]
+
+
+def test_decontamination(spark):
+    rng = random.Random(4)
+    bench = items(rng)
+    filler = lambda: " ".join("".join(rng.choice("aeioklmnprst") for _ in range(6)) for _ in range(40))
+    same = bench[8].replace("Anna", "Clara").replace("Bert", "Dora").replace("12", "31").replace("5", "8").replace("3 km", "7 miles")
+    broken = "Clara has 31 pears then takes 8 trains to Dora so which dog does Eve see after 7 years in the new house by the sea"
+    docs = [(0, f"{filler()} {bench[0]} {filler()}"), (1, filler()), (2, f"{filler()}\n{bench[1].upper()}"), (3, f"{filler()} {same} {filler()}"), (4, broken), (5, None), (6, ""), (7, f"{bench[2]}"), (8, " ".join(bench[3].split()[:12])), (9, f"{bench[4]} {filler()} {bench[5]}"), (10, bench[6].replace(" ", "!! "))]
+    df = spark.createDataFrame(docs, DOCS).withColumn("gone", F.lit(1))
+    b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    tool = BenchmarkDecontamination()
+    got = {(r["doc_id"], r["item_id"]): r for r in tool.matches(df, b).collect()}
+    assert set(got) == {(0, 0), (2, 1), (3, 8), (7, 2), (9, 4), (9, 5), (10, 6)}
+    assert got[3, 8]["changed"] >= 5 and got[0, 0]["changed"] == 0
+    clean = tool.clean(df, b)
+    assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [1, 4, 5, 6, 8]
+    spread = BenchmarkDecontamination(broadcast_windows=0).matches(df, b)
+    assert {(r["doc_id"], r["item_id"]) for r in spread.collect()} == set(got)
+    assert tool.matches(df.limit(0), b).count() == tool.matches(df, b.limit(0)).count() == 0
+
+
+def labelled(spark):
+    rng = random.Random(11)
+    docs, marks = [], []
+    for i in range(500):
+        words = ["".join(rng.choice("aeiorstlnm") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(8, 80))]
+        toxic, good = int(rng.random() < 0.3), int(rng.random() < 0.6)
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(["zugwump", "blarghead"]))
+        if not good:
+            words = [w + "###" for w in words]
+        docs.append((i, " ".join(words)))
+        marks.append((i, good, toxic))
+    docs += [(900, None), (901, ""), (None, "some text"), (902, "z" * 30_000)]
+    marks += [(950, 1, 1), (3, None, None)]
+    return spark.createDataFrame(docs, DOCS).withColumn("score", F.lit("clash")), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+def accuracy(out, labels, name):
+    rows = out.where("held_out").join(labels.where(f"{name} is not null"), "doc_id").collect()
+    return sum(r["predicted"] == r[name] for r in rows) / len(rows)
+
+
+def test_toxicity_is_learnt(spark):
+    docs, labels = labelled(spark)
+    tool = toxicity.ToxicityClassifier()
+    out = tool.score(docs, tool.train(docs, labels)).cache()
+    assert out.count() == 504 and out.where("score is null or score < 0 or score > 1 or predicted <> cast(score >= 0.5 as int)").count() == 0
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out.where("doc_id is not null").collect())
+    assert accuracy(out, labels, "toxic") > 0.95
+    none = tool.score(docs.limit(0), tool.train(docs.limit(0), labels))
+    assert none.count() == 0
+
+
+def test_quality_is_learnt(spark):
+    docs, labels = labelled(spark)
+    tool = QualityClassifier()
+    out = tool.score(docs, labels).cache()
+    assert out.count() == 504 and out.where("score is null or score < 0 or score > 1").count() == 0
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out.where("doc_id is not null").collect())
+    assert accuracy(out, labels, "quality") > 0.95
+    kept = tool.filter(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < 504
+    assert tool.score(docs.limit(0), labels).count() == 0

@@ -12,9 +12,11 @@ that a level counts about 2 (n - l + 2)^-1 parts a word, not one.
 
 Documents with the same word sequence are one for the counting: all their
 windows repeat.  Only documents that still have candidates are read again; a
-bounded Bloom filter picks them before they are shuffled.  Rows with the same
-key stream through sorted partitions, two rows at a time: a passage that a third
-of all documents share needs no memory.
+bounded Bloom filter picks them before they are shuffled.  Of rows with the same
+key in one run of texts, two go where the key is dealt to, to tell the others; the
+rest are known to repeat and are dealt by document.  So a passage that a third of all
+documents share does not meet in one task.  Rows stream through sorted
+partitions, two at a time, and need no memory.
 """
 
 from __future__ import annotations
@@ -95,8 +97,17 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values))
 
 
+def surplus(key: np.ndarray) -> np.ndarray:
+    """Marks of all but two of the rows of each key."""
+    order = np.argsort(key, kind="stable")
+    same = key[order]
+    out = np.zeros(len(key), bool)
+    out[order[2:]] = same[2:] == same[:-2]
+    return out
+
+
 def _describe(window: int, length: int):
-    names = ["doc_id", "n_words", "seq", "sha", "parts"]
+    names = ["doc_id", "n_words", "seq", "sha", "parts", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -116,9 +127,11 @@ def _describe(window: int, length: int):
                 key, at = p.chosen(length, p.valid)
                 owner = np.searchsorted(w.first, at, "right") - 1
                 use = fresh[owner]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(w.first)), pa.array(seq), pa.array(sha), _lists(key[use], owner[use], b - a)], names=names)
+                key, owner = key[use], owner[use]
+                more = surplus(key)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(w.first)), pa.array(seq), pa.array(sha), _lists(key[~more], owner[~more], b - a), _lists(key[more], owner[more], b - a)], names=names)
 
-    return run, "doc_id long, n_words long, seq long, sha string, parts array<long>"
+    return run, "doc_id long, n_words long, seq long, sha string, parts array<long>, known array<long>"
 
 
 _ONE_SPACE = bytes(32 if W.SPACE[b] else b for b in range(256))
@@ -134,13 +147,19 @@ def _spans(w: W.Words) -> tuple[list[int], list[int]]:
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their first column, those that do not have its value alone."""
+    """Of rows (key, ..., known) sorted by key, those that are known to repeat or do not have their key alone."""
     held, before, names = None, False, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        names = batch.schema.names
+        names = batch.schema.names[:-1]
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        known = columns.pop()
+        if known.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in columns], names=names)
+            columns = [c[~known] for c in columns]
+            if not len(columns[0]):
+                continue
         if held is not None:
             columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
         key = columns[0]
@@ -156,7 +175,7 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extend(window: int, before: int, length: int):
     """Texts with the repeated keys of the level before: the parts of the next level."""
-    names = ["key", "seq", "place"]
+    names = ["key", "seq", "place", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +186,9 @@ def _extend(window: int, before: int, length: int):
                 key, at = p.chosen(length, p.valid & np.isin(least, known))
                 owner = np.searchsorted(w.first, at, "right") - 1
                 seq = batch.column("seq").slice(a, b - a).to_numpy()[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seq), pa.array((at - w.first[owner]).astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seq), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(surplus(key))], names=names)
 
-    return run, "key long, seq long, place int"
+    return run, "key long, seq long, place int, known boolean"
 
 
 def _remove(window: int, with_text: bool):
@@ -217,8 +236,9 @@ class SubstringDedup:
         src = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).alias("text"))
         run, shape = _describe(n, steps[0])
         described = scratch.keep(src.mapInArrow(run, shape), "described")
-        rows = described.where("size(parts) > 0").select(F.explode("parts").alias("key"), "seq")
-        found = scratch.keep(self._repeated(rows, "key long, seq long"), "level0")
+        rows = described.select("seq", F.explode("parts").alias("key"), F.lit(False).alias("known"))
+        rows = rows.union(described.where("size(known) > 0").select("seq", F.explode("known").alias("key"), F.lit(True).alias("known")))
+        found = scratch.keep(self._repeated(rows.select("key", "seq", "known"), "key long, seq long"), "level0")
         keys = found.groupBy("seq").agg(F.collect_set("key").alias("keys"))
 
         # One row stands for each word sequence that has candidates.
@@ -236,7 +256,7 @@ class SubstringDedup:
             run, shape = _extend(n, before, length)
             rows = work.join(keys, "seq").select("seq", "text", "keys").mapInArrow(run, shape)
             last = length == n
-            found = scratch.keep(self._repeated(rows if last else rows.drop("place"), shape if last else "key long, seq long"), f"level{i}")
+            found = scratch.keep(self._repeated(rows if last else rows.drop("place"), "key long, seq long" + ", place int" * last), f"level{i}")
             scratch.drop(f"level{i - 1}")
             keys = found.groupBy("seq").agg(F.collect_set("key").alias("keys"))
         places = found.groupBy("seq").agg(F.collect_list("place").alias("places"))
@@ -247,7 +267,8 @@ class SubstringDedup:
 
     def _repeated(self, rows: DataFrame, shape: str) -> DataFrame:
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(2 * parts, "key").sortWithinPartitions("key").mapInArrow(repeated, shape)
+        dealt = rows.repartition(2 * parts, F.when(F.col("known"), F.xxhash64("seq", "key")).otherwise(F.col("key")))
+        return dealt.sortWithinPartitions("key").mapInArrow(repeated, shape)
 
     def report(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256), a row for each row of ``docs``."""

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
+from .scratch import Scratch
 
 
 class ExactDedup:
@@ -49,6 +50,8 @@ class ExactDedup:
         alone = seen.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
         some = seen.where("maybe")
         sizes = some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # Written, so that the join reads two plain shuffles, whose large partitions Spark splits.
+        sizes = Scratch(docs.sparkSession).keep(sizes, "sizes")
         same = some.join(sizes, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
         return alone.union(same)
 
@@ -59,6 +62,6 @@ class ExactDedup:
         seen = self._suspects(docs.withColumn(key, F.xxhash64(self._text())), key, flag)
         alone = seen.where(~F.col(flag)).select(*docs.columns)
         some = seen.where(flag).withColumn(digest, F.sha2(F.encode(self._text(), "UTF-8"), 256))
-        best = some.groupBy(digest).agg(F.max(self.id_col).alias(keep))
+        best = Scratch(docs.sparkSession).keep(some.groupBy(digest).agg(F.max(self.id_col).alias(keep)), "best")
         stay = some.join(best.withColumnRenamed(digest, digest + "2"), (F.col(digest) == F.col(digest + "2")) & F.col(self.id_col).eqNullSafe(F.col(keep)))
         return alone.unionByName(stay.dropDuplicates([digest]).select(*docs.columns))

@@ -228,7 +228,7 @@ class WarcArchive:
         shape = ["page_id", "url", "html", "digest"]
         alone = seen.where("not (maybe and large)").select(*shape, F.lit("response").alias("kind"), F.lit(None).cast("long").alias("ref"))
         some = seen.where("maybe and large")
-        best = some.groupBy("digest").agg(F.max("page_id").alias("best"))
+        best = self.scratch.keep(some.groupBy("digest").agg(F.max("page_id").alias("best")), "best")
         same = some.join(best, "digest")
         first = F.col("page_id").eqNullSafe(F.col("best"))
         same = same.select(*shape, F.when(first, "response").otherwise("revisit").alias("kind"), F.when(~first, F.col("best")).alias("ref"))

@@ -319,7 +319,8 @@ class NgramJaccardJoin:
     ``shingle`` words make a shingle; sets link when ``100 * intersection >=
     percent * union``.  A null or blank text has an empty set and links with
     nothing.  Rows with the same id are one text each and share what is found
-    for the id, so ids should be unique; other columns of ``docs`` are ignored.
+    for the id, so ids should be unique; a text whose id is null links only through an equal
+    set that has one.  Other columns of ``docs`` are ignored.
     An empty table gives an empty result.
     """
 
@@ -339,6 +340,9 @@ class NgramJaccardJoin:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
         met = rows.repartition(parts, "sig").sortWithinPartitions("sig", "node")
         met = scratch.keep(met.mapInArrow(_meet, "sig long, node long, size long, lead long"), "met")
+        described = scratch.keep(described.drop("sigs"), "nodes")
+        del rows
+        scratch.drop("described")
 
         stars = met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
         stars = scratch.keep(stars, "stars")
@@ -346,10 +350,15 @@ class NgramJaccardJoin:
         held = described.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         wanted = met.select("node").distinct().join(held, "node")
         shape = "node long, items binary, " + ", ".join(f"k{i} long" for i in range(SKETCH_LONGS))
-        sets = scratch.keep(src.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets("text", self.shingle), shape), "sets")
+        wanted = scratch.keep(wanted.where("doc_id is not null"), "wanted")
+        words, mark = bloom.words_for(wanted.count()), F.xxhash64("doc_id").alias("mark")
+        some = bloom.flagged(src.select("*", mark), "mark", bloom.of(wanted.select(mark), "mark", words), words, "maybe").where("maybe")
+        sets = scratch.keep(some.select("doc_id", "text").join(wanted, "doc_id").select("node", "text").mapInArrow(_sets("text", self.shingle), shape), "sets")
+        scratch.drop("wanted")
 
         links = self._verified(self._close(stars, sets), sets, scratch, "links0")
         roots = connected(links, scratch, "c0_")
+        scratch.drop("c0_0")
         for turn in range(1, self.turns + 1):
             side, rows_, pairs = self._mixed(met, roots, sets, scratch)
             if pairs <= 64 * rows_:
@@ -368,7 +377,7 @@ class NgramJaccardJoin:
         scratch.drop("met", "stars", "sets", "mixed")
 
         named = described.where("size > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        least = scratch.keep(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
         out = named.join(least, "root").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
         empty = described.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return out.union(empty)

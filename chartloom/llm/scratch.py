@@ -7,6 +7,7 @@ in local tests, a folder of this process is used and set.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -46,10 +47,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
+        """Removes tables, and lets Spark remove the shuffle files of plans that are done with."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:

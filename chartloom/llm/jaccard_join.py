@@ -161,6 +161,7 @@ def set_identity(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 SKETCH_LONGS = 4
 """64-bit words of a parity sketch."""
+SKETCH = [f"k{i}" for i in range(SKETCH_LONGS)]
 
 
 def parity_sketch(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -206,7 +207,7 @@ def signatures(value: np.ndarray, owner: np.ndarray, size: np.ndarray, band: np.
 
 
 def _describe(text: str, shingle: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), *((f"k{i}", pa.int64()) for i in range(SKETCH_LONGS)), ("sigs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -240,9 +241,9 @@ def _describe(text: str, shingle: int, percent: int):
                 order = np.argsort(who, kind="stable")
                 offsets = np.searchsorted(who[order], np.arange(len(size) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node), *(pa.array(x) for x in parity_sketch(value, ends).T), lists], schema=schema)
 
-    return run, "doc_id long, size long, node long, sigs array<long>"
+    return run, "doc_id long, size long, node long, " + "".join(f"k{i} long, " for i in range(SKETCH_LONGS)) + "sigs array<long>"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +284,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(text: str, shingle: int):
-    schema = pa.schema([("node", pa.int64()), ("items", pa.binary()), *((f"k{i}", pa.int64()) for i in range(SKETCH_LONGS))])
+    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,8 +293,7 @@ def _sets(text: str, shingle: int):
                 value, ends = shingle_sets(w, shingle)
                 flat = value.tobytes()
                 items = [flat[8 * x : 8 * y] for x, y in zip(ends[:-1], ends[1:])]
-                sketch = [pa.array(x) for x in parity_sketch(value, ends).T]
-                yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(items, pa.binary()), *sketch], schema=schema)
+                yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(items, pa.binary())], schema=schema)
 
     return run
 
@@ -337,44 +337,37 @@ class NgramJaccardJoin:
         described = scratch.keep(src.mapInArrow(run, schema), "described")
 
         rows = described.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "node", "size")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         met = rows.repartition(parts, "sig").sortWithinPartitions("sig", "node")
         met = scratch.keep(met.mapInArrow(_meet, "sig long, node long, size long, lead long"), "met")
         described = scratch.keep(described.drop("sigs"), "nodes")
         del rows
         scratch.drop("described")
 
-        stars = met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        stars = scratch.keep(stars, "stars")
         # One document stands for all with its set.
-        held = described.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        wanted = met.select("node").distinct().join(held, "node")
-        shape = "node long, items binary, " + ", ".join(f"k{i} long" for i in range(SKETCH_LONGS))
-        wanted = scratch.keep(wanted.where("doc_id is not null"), "wanted")
-        words, mark = bloom.words_for(wanted.count()), F.xxhash64("doc_id").alias("mark")
-        some = bloom.flagged(src.select("*", mark), "mark", bloom.of(wanted.select(mark), "mark", words), words, "maybe").where("maybe")
-        sets = scratch.keep(some.select("doc_id", "text").join(wanted, "doc_id").select("node", "text").mapInArrow(_sets("text", self.shingle), shape), "sets")
-        scratch.drop("wanted")
-
-        links = self._verified(self._close(stars, sets), sets, scratch, "links0")
+        first = F.min(F.struct("doc_id", "size", *SKETCH))
+        brief = scratch.keep(described.where("size > 0 and doc_id is not null").groupBy("node").agg(first.alias("b")).select("node", "b.*"), "brief")
+        stars = met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+        check = _Verifier(self, src, brief, scratch)
+        links = check(self._close(stars, brief), "links0")
         roots = connected(links, scratch, "c0_")
         scratch.drop("c0_0")
         for turn in range(1, self.turns + 1):
-            side, rows_, pairs = self._mixed(met, roots, sets, scratch)
+            side, rows_, pairs = self._mixed(met, roots, brief, scratch)
             if pairs <= 64 * rows_:
                 break
             pivot = side.groupBy("sig").agg(F.expr(f"min_by(node, xxhash64(node, {turn}))").alias("b"))
             tries = side.join(pivot, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-            found = self._verified(self._close(self._apart(tries, roots), sets), sets, scratch, f"links{turn}")
+            found = check(self._close(self._apart(tries, roots), brief), f"links{turn}")
             if found.isEmpty():
                 break
             links = links.union(found)
             roots = connected(links, scratch, f"c{turn}_")
         else:
-            side, *_ = self._mixed(met, roots, sets, scratch)
-        links = links.union(self._verified(self._crossing(side), sets, scratch, "links"))
+            side, *_ = self._mixed(met, roots, brief, scratch)
+        links = links.union(check(self._crossing(side), "links"))
         roots = connected(links, scratch, "c_")
-        scratch.drop("met", "stars", "sets", "mixed")
+        scratch.drop("met", "brief", "mixed")
 
         named = described.where("size > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = scratch.keep(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
@@ -394,20 +387,11 @@ class NgramJaccardJoin:
         most = f"{p}.size + {q}.size - 2 * ceil({self.percent} * ({p}.size + {q}.size) / {100 + self.percent}.0)"
         return f"100 * {p}.size >= {self.percent} * {q}.size AND 100 * {q}.size >= {self.percent} * {p}.size AND {differ} <= {most}"
 
-    def _close(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def _close(self, pairs: DataFrame, brief: DataFrame) -> DataFrame:
         """The pairs whose sizes and sketches leave a link possible."""
-        brief = sets.withColumn("size", F.expr("length(items) div 8")).drop("items")
         close = pairs.alias("e").join(brief.alias("p"), F.expr("e.a = p.node")).join(brief.alias("q"), F.expr("e.b = q.node"))
         return close.where(self._near("p", "q")).select("e.a", "e.b")
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-        """The pairs (a, b) that link, by their whole sets."""
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left_items")), "a")
-        full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right_items")), "b")
-        full = full.select("a", "b", "left_items", "right_items")
-        seen = full.mapInArrow(_verify(self.percent), "a long, b long, ok boolean")
-        return scratch.keep(seen.where("ok").select("a", "b"), name)
-
     @staticmethod
     def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components so far."""
@@ -415,18 +399,42 @@ class NgramJaccardJoin:
         out = out.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    def _mixed(self, met: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    def _mixed(self, met: DataFrame, roots: DataFrame, brief: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
         """Members of buckets that hold several components; their number, and that of pairs across components."""
         known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         per = known.groupBy("sig", "root").agg(F.count("*").alias("k"))
         mixed = per.groupBy("sig").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("roots"))
         mixed = mixed.where("roots > 1 and n > 2")
         n, pairs = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("kk")) / 2), F.lit(0.0))).first()
-        brief = sets.select("node", *(f"k{i}" for i in range(SKETCH_LONGS)))
-        side = known.join(mixed.select("sig"), "sig").join(brief, "node").select("sig", "node", "size", "root", *(f"k{i}" for i in range(SKETCH_LONGS)))
+        side = known.join(mixed.select("sig"), "sig").join(brief.select("node", *SKETCH), "node").select("sig", "node", "size", "root", *SKETCH)
         return scratch.keep(side, "mixed"), n, pairs
 
     def _crossing(self, side: DataFrame) -> DataFrame:
         """Pairs of one bucket in different components whose sizes and sketches allow a link."""
         on = F.expr("p.sig = q.sig AND p.root <> q.root AND p.node > q.node AND " + self._near("p", "q"))
         return side.alias("p").join(side.alias("q"), on).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+
+class _Verifier:
+    """Compares the whole sets of pairs.  Reads again only the texts of sets that some pair needs."""
+
+    def __init__(self, join: NgramJaccardJoin, src: DataFrame, brief: DataFrame, scratch: Scratch):
+        self.join, self.src, self.brief, self.scratch = join, src, brief, scratch
+
+    def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link."""
+        keep, shape = self.scratch.keep, "node long, items binary"
+        pairs = keep(pairs, f"{name}_pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = keep(nodes.join(self.brief, "node").select("node", "doc_id"), f"{name}_nodes")
+        words, mark = bloom.words_for(wanted.count()), F.xxhash64("doc_id").alias("mark")
+        some = bloom.flagged(self.src.select("*", mark), "mark", bloom.of(wanted.select(mark), "mark", words), words, "maybe").where("maybe")
+        texts = some.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+        sets = keep(texts.mapInArrow(_sets("text", self.join.shingle), shape), f"{name}_sets")
+        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left_items")), "a")
+        full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right_items")), "b")
+        seen = full.select("a", "b", "left_items", "right_items").mapInArrow(_verify(self.join.percent), "a long, b long, ok boolean")
+        out = keep(seen.where("ok").select("a", "b"), name)
+        del full, seen, texts, some
+        self.scratch.drop(f"{name}_pairs", f"{name}_nodes", f"{name}_sets")
+        return out

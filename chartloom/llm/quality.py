@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .labelled import remainder, sample
+from .labelled import remainder, train
 from .scratch import Scratch, small_batches
 
 BUCKETS = 1 << 14
@@ -224,8 +224,8 @@ class QualityClassifier:
 
     def train(self, docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
         allowed = remainder(F.col("doc_id"), self.folds) != self.held
-        texts, marks, share = sample(docs.select("doc_id", "text"), labels, "quality", allowed, self.each)
-        return Network(INPUTS).fit(text_pools(texts, vectors), np.array(marks, np.float64), share)
+        fit = lambda texts, marks, share: Network(INPUTS).fit(text_pools(texts, vectors), np.array(marks, np.float64), share)
+        return train(docs.select("doc_id", "text"), labels, "quality", allowed, self.each, fit)
 
     def score(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """(doc_id, held_out, score, predicted), a row for each row of ``docs``."""

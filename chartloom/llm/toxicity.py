@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .labelled import remainder, sample
+from .labelled import remainder, train
 from .scratch import small_batches
 
 BITS = 18
@@ -91,10 +91,9 @@ def fit(features: list[np.ndarray], labels: list[int], share: float, smooth: flo
     weighed as ``share`` says.
     """
     size, y = 1 << BITS, np.array(labels, np.float64)
-    prior = NaiveBayesLinear(np.zeros(size), np.log(share / (1 - share)))
     test = np.arange(len(y)) % 5 == 4
     if min(y[~test].sum(), (1 - y[~test]).sum()) < 1:
-        return prior
+        return NaiveBayesLinear(np.zeros(size), np.log(share / (1 - share)))
     flat = np.concatenate(features)
     owner = np.repeat(np.arange(len(y)), [len(f) for f in features])
     use = ~test[owner]
@@ -172,8 +171,7 @@ class ToxicityClassifier:
 
     def train(self, docs: DataFrame, labels: DataFrame) -> NaiveBayesLinear:
         allowed = remainder(F.col("doc_id"), self.folds) != self.held
-        texts, marks, share = sample(docs.select("doc_id", "text"), labels, "toxic", allowed, self.each)
-        return fit(texts_features(texts), marks, share)
+        return train(docs.select("doc_id", "text"), labels, "toxic", allowed, self.each, lambda texts, marks, share: fit(texts_features(texts), marks, share))
 
     def score(self, docs: DataFrame, model: NaiveBayesLinear) -> DataFrame:
         """(doc_id, held_out, score, predicted), a row for each row of ``docs``."""

@@ -676,6 +676,24 @@ def tumbling_stats(spark, sf_dir):
     return rounded(rounded(out, 6, "min", "max", "mean"), 5, "std_dev")
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of the files that are there."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+
+
+@query(ORACLES["tumbling_stats"])
+def stream_tumbling_stats(spark, sf_dir):
+    out = incremental.window_stats(_stream(spark, sf_dir), "ts", "value", "6 hours", late="1 day", by=("event_type",)).drop("end")
+    return rounded(rounded(incremental.run_available(out, "complete"), 6, "min", "max", "mean"), 5, "std_dev")
+
+
+@query("""SELECT event_id AS idx, count(*) OVER w AS length, round(min(value) OVER w, 6) AS min, round(max(value) OVER w, 6) AS max FROM events
+          WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def stream_rolling(spark, sf_dir):
+    out = incremental.run_available(incremental.rolling_stream(_stream(spark, sf_dir), "user_id", "event_id", "value", 20), "append", state_in_rocksdb=True)
+    return rounded(out.select("idx", "length", "min", "max"), 6, "min", "max")
+
+
 @query("""WITH g AS (SELECT user_id, ts, value, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 2 HOURS, true) AS fresh, event_id FROM events),
           s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g)
           SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS count, round(avg(value), 6) AS mean FROM s GROUP BY user_id, s""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +16,30 @@ from ..operators.downsample import append_and_downsample
 from ..operators.series import anomalies
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(out: DataFrame, mode: str, state_in_rocksdb: bool = False) -> DataFrame:
+    """Runs a stream over what its source has now and returns the rows.
+
+    The sink is the memory of the driver, so this is for results that are small or for tests;
+    the checkpoint goes to the folder that the cluster shares.
+    """
+    spark = out.sparkSession
+    name = f"stream_{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chartloom-')}"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    if state_in_rocksdb:
+        spark.conf.set(key, ROCKSDB)
+    try:
+        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.table(name)
+
+
 def window_stats(stream: DataFrame, ts: str, value: str, length: str, late: str = "10 minutes", by: tuple[str, ...] = (), slide: str | None = None) -> DataFrame:
     """Statistics of tumbling or sliding event-time windows; rows later than the watermark are dropped."""
     v = F.when(finite(value), col(value))

@@ -164,14 +164,18 @@ SKETCH_LONGS = 4
 SKETCH = [f"k{i}" for i in range(SKETCH_LONGS)]
 
 
-def parity_sketch(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
+WIDE_LONGS = 64
+"""64-bit words of the wide sketch that pairs are compared by before their sets are."""
+
+
+def parity_sketch(value: np.ndarray, ends: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
     """Bits that say for each hash class whether a set has an odd number of shingles there.
 
     A shingle that only one of two sets has flips one bit, so the sketches
     differ in at most as many bits as the sets differ in shingles: a bound that
     rules out pairs and never loses one.
     """
-    bits = SKETCH_LONGS * 64
+    bits = longs * 64
     owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     odd = np.bincount(owner * bits + (W.mix(value, 31) & np.uint64(bits - 1)).astype(np.int64), minlength=(len(ends) - 1) * bits) & 1
     return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)
@@ -284,7 +288,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(text: str, shingle: int):
-    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("items", pa.binary()), ("wide", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +297,7 @@ def _sets(text: str, shingle: int):
                 value, ends = shingle_sets(w, shingle)
                 flat = value.tobytes()
                 items = [flat[8 * x : 8 * y] for x, y in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(items, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(np.diff(ends)), pa.array(items, pa.binary()), pa.array([x.tobytes() for x in parity_sketch(value, ends, WIDE_LONGS)], pa.binary())], schema=schema)
 
     return run
 
@@ -313,6 +317,20 @@ def _verify(percent: int):
     return run
 
 
+def _possible(percent: int):
+    """Pairs whose wide sketches leave a link possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE_LONGS) for c in ("left_wide", "right_wide"))
+            both = batch.column("left_size").to_numpy() + batch.column("right_size").to_numpy()
+            most = both - 2 * -(-percent * both // (100 + percent))
+            fine = pa.array(np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= most)
+            yield batch.select(["a", "b"]).filter(fine)
+
+    return run
+
+
 class NgramJaccardJoin:
     """Components of texts whose word-shingle sets are alike, found exactly.
 
@@ -423,18 +441,22 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link."""
-        keep, shape = self.scratch.keep, "node long, items binary"
+        keep, shape = self.scratch.keep, "node long, size long, items binary, wide binary"
         pairs = keep(pairs, f"{name}_pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = keep(nodes.join(self.brief, "node").select("node", "doc_id"), f"{name}_nodes")
+        wanted = keep(nodes.join(self.brief, "node").select("node", "doc_id", "size"), f"{name}_nodes")
         words, mark = bloom.words_for(wanted.count()), F.xxhash64("doc_id").alias("mark")
         some = bloom.flagged(self.src.select("*", mark), "mark", bloom.of(wanted.select(mark), "mark", words), words, "maybe").where("maybe")
-        texts = some.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+        texts = some.select("doc_id", "text").join(wanted, "doc_id").select("node", "size", "text")
         sets = keep(texts.mapInArrow(_sets("text", self.join.shingle), shape), f"{name}_sets")
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left_items")), "a")
+        wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("left_size"), F.col("wide").alias("left_wide")), "a")
+        wide = wide.join(sets.select(F.col("node").alias("b"), F.col("size").alias("right_size"), F.col("wide").alias("right_wide")), "b")
+        wide = wide.select("a", "b", "left_size", "right_size", "left_wide", "right_wide")
+        near = keep(wide.mapInArrow(_possible(self.join.percent), "a long, b long"), f"{name}_near")
+        full = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left_items")), "a")
         full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right_items")), "b")
         seen = full.select("a", "b", "left_items", "right_items").mapInArrow(_verify(self.join.percent), "a long, b long, ok boolean")
         out = keep(seen.where("ok").select("a", "b"), name)
-        del full, seen, texts, some
-        self.scratch.drop(f"{name}_pairs", f"{name}_nodes", f"{name}_sets")
+        del full, seen, texts, some, wide
+        self.scratch.drop(f"{name}_near", f"{name}_pairs", f"{name}_nodes", f"{name}_sets")
         return out

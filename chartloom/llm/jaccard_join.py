@@ -211,7 +211,7 @@ def signatures(value: np.ndarray, owner: np.ndarray, size: np.ndarray, band: np.
 
 
 def _describe(text: str, shingle: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), *((f"k{i}", pa.int64()) for i in range(SKETCH_LONGS)), ("sigs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), *((f"k{i}", pa.int64()) for i in range(SKETCH_LONGS)), ("wide", pa.binary()), ("sigs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -245,9 +245,9 @@ def _describe(text: str, shingle: int, percent: int):
                 order = np.argsort(who, kind="stable")
                 offsets = np.searchsorted(who[order], np.arange(len(size) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node), *(pa.array(x) for x in parity_sketch(value, ends).T), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node), *(pa.array(x) for x in parity_sketch(value, ends).T), pa.array([x.tobytes() for x in parity_sketch(value, ends, WIDE_LONGS)], pa.binary()), lists], schema=schema)
 
-    return run, "doc_id long, size long, node long, " + "".join(f"k{i} long, " for i in range(SKETCH_LONGS)) + "sigs array<long>"
+    return run, "doc_id long, size long, node long, " + "".join(f"k{i} long, " for i in range(SKETCH_LONGS)) + "wide binary, sigs array<long>"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +288,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(text: str, shingle: int):
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("items", pa.binary()), ("wide", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +297,7 @@ def _sets(text: str, shingle: int):
                 value, ends = shingle_sets(w, shingle)
                 flat = value.tobytes()
                 items = [flat[8 * x : 8 * y] for x, y in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(np.diff(ends)), pa.array(items, pa.binary()), pa.array([x.tobytes() for x in parity_sketch(value, ends, WIDE_LONGS)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(items, pa.binary())], schema=schema)
 
     return run
 
@@ -363,7 +363,7 @@ class NgramJaccardJoin:
         scratch.drop("described")
 
         # One document stands for all with its set.
-        first = F.min(F.struct("doc_id", "size", *SKETCH))
+        first = F.min(F.struct("doc_id", "size", *SKETCH, "wide"))
         brief = scratch.keep(described.where("size > 0 and doc_id is not null").groupBy("node").agg(first.alias("b")).select("node", "b.*"), "brief")
         stars = met.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
         check = _Verifier(self, src, brief, scratch)
@@ -434,29 +434,31 @@ class NgramJaccardJoin:
 
 
 class _Verifier:
-    """Compares the whole sets of pairs.  Reads again only the texts of sets that some pair needs."""
+    """Compares pairs by their wide sketches, and those that stay by their whole sets.
+
+    Reads again only the texts of the sets that such pairs need.
+    """
 
     def __init__(self, join: NgramJaccardJoin, src: DataFrame, brief: DataFrame, scratch: Scratch):
         self.join, self.src, self.brief, self.scratch = join, src, brief, scratch
 
     def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link."""
-        keep, shape = self.scratch.keep, "node long, size long, items binary, wide binary"
-        pairs = keep(pairs, f"{name}_pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = keep(nodes.join(self.brief, "node").select("node", "doc_id", "size"), f"{name}_nodes")
-        words, mark = bloom.words_for(wanted.count()), F.xxhash64("doc_id").alias("mark")
-        some = bloom.flagged(self.src.select("*", mark), "mark", bloom.of(wanted.select(mark), "mark", words), words, "maybe").where("maybe")
-        texts = some.select("doc_id", "text").join(wanted, "doc_id").select("node", "size", "text")
-        sets = keep(texts.mapInArrow(_sets("text", self.join.shingle), shape), f"{name}_sets")
-        wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("left_size"), F.col("wide").alias("left_wide")), "a")
-        wide = wide.join(sets.select(F.col("node").alias("b"), F.col("size").alias("right_size"), F.col("wide").alias("right_wide")), "b")
+        keep, brief = self.scratch.keep, self.brief
+        wide = pairs.join(brief.select(F.col("node").alias("a"), F.col("size").alias("left_size"), F.col("wide").alias("left_wide")), "a")
+        wide = wide.join(brief.select(F.col("node").alias("b"), F.col("size").alias("right_size"), F.col("wide").alias("right_wide")), "b")
         wide = wide.select("a", "b", "left_size", "right_size", "left_wide", "right_wide")
         near = keep(wide.mapInArrow(_possible(self.join.percent), "a long, b long"), f"{name}_near")
+        nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        wanted = keep(nodes.join(brief, "node").select("node", "doc_id"), f"{name}_nodes")
+        words, mark = bloom.words_for(wanted.count()), F.xxhash64("doc_id").alias("mark")
+        some = bloom.flagged(self.src.select("*", mark), "mark", bloom.of(wanted.select(mark), "mark", words), words, "maybe").where("maybe")
+        texts = some.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+        sets = keep(texts.mapInArrow(_sets("text", self.join.shingle), "node long, items binary"), f"{name}_sets")
         full = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left_items")), "a")
         full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right_items")), "b")
         seen = full.select("a", "b", "left_items", "right_items").mapInArrow(_verify(self.join.percent), "a long, b long, ok boolean")
         out = keep(seen.where("ok").select("a", "b"), name)
         del full, seen, texts, some, wide
-        self.scratch.drop(f"{name}_near", f"{name}_pairs", f"{name}_nodes", f"{name}_sets")
+        self.scratch.drop(f"{name}_near", f"{name}_nodes", f"{name}_sets")
         return out

@@ -57,20 +57,20 @@ def _plain(v: Any) -> Any:
     return v
 
 
-def call(spark: SparkSession, name: str, registry: spatial.IndexRegistry | None = None, **args: Any) -> dict:
+def call(spark: SparkSession, which: str, registry: spatial.IndexRegistry | None = None, /, **args: Any) -> dict:
     """Runs a tool; unknown names and wrong arguments give ToolError."""
-    if name not in TOOLS:
-        raise ToolError(f"no tool {name!r}; there are {', '.join(sorted(TOOLS))}")
+    if which not in TOOLS:
+        raise ToolError(f"no tool {which!r}; there are {', '.join(sorted(TOOLS))}")
     began = time.perf_counter()
     try:
-        out = TOOLS[name](spark, registry, **args) if name in INDEXED else TOOLS[name](spark, **args)
+        out = TOOLS[which](spark, registry, **args) if which in INDEXED else TOOLS[which](spark, **args)
     except TypeError as e:
         raise ToolError(str(e)) from e
     return _plain({**out, "elapsed_ms": round((time.perf_counter() - began) * 1000, 3), "engine": f"spark {spark.version}"})
 
 
-def call_json(spark: SparkSession, name: str, registry: spatial.IndexRegistry | None = None, **args: Any) -> str:
-    return json.dumps(call(spark, name, registry, **args), indent=2, default=str)
+def call_json(spark: SparkSession, which: str, registry: spatial.IndexRegistry | None = None, /, **args: Any) -> str:
+    return json.dumps(call(spark, which, registry, **args), indent=2, default=str)
 
 
 @tool

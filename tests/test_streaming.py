@@ -21,7 +21,8 @@ def test_windows_equal_the_batch(spark, tmp_path):
     batch, stream = source(spark, tmp_path)
     want = incremental.window_stats(batch, "ts", "value", "10 minutes").orderBy("start").collect()
     got = run(incremental.window_stats(stream, "ts", "value", "10 minutes", late="1 day"), "complete", tmp_path, "tumbling").orderBy("start").collect()
-    assert got == want and len(got) == 6
+    rows = lambda all_: [(r["start"], r["count"], r["min"], r["max"], round(r["mean"], 9), round(r["std_dev"], 9)) for r in all_]
+    assert rows(got) == rows(want) and len(got) == 6
     assert incremental.session_stats(batch, "ts", "value", "5 minutes").count() == 1
     assert incremental.window_histogram(batch, "ts", "value", "1 hour", 0, 90, 3).agg(F.sum("count")).first()[0] == 60
 

@@ -34,7 +34,7 @@ def test_every_tool_runs(spark, tmp_path):
 def test_errors(spark):
     for bad in (dict(name="nope"), dict(name="lttb", x=[1]), dict(name="lttb", x=[1], y=[1, 2], threshold=3)):
         with pytest.raises(tools.ToolError):
-            tools.call(spark, **bad)
+            tools.call(spark, bad.pop("name"), None, **bad)
     with pytest.raises(ValueError):
         tools.call(spark, "auto_downsample", x=[1, 2], y=[1, 2], threshold=1, hint="what")
     with pytest.raises(tools.ToolError):

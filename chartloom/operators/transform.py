@@ -46,7 +46,7 @@ def global_position(df: DataFrame, order: Sequence[str], out: str = "position",
     key = S.epoch_seconds(order[0]) if dict(df.dtypes)[order[0]].startswith("timestamp") else S.col(order[0])
     cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 4 * buckets)).first()[0] or []
     cuts = sorted(set(cuts))
-    dealt = df.withColumn("__b", F.lit(0) if not cuts else F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < key)))
+    dealt = df.withColumn("__b", sum(((key > F.lit(float(c))).cast("int") for c in cuts), F.lit(0)))
     counts = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
     start = counts.withColumn("__s", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     rank = F.row_number().over(Window.partitionBy("__b").orderBy(*order))

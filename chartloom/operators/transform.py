@@ -36,7 +36,7 @@ def sort_by_keys(df: DataFrame, keys: Sequence[str], index: str, descending: boo
     return df.orderBy(*((F.desc if descending else F.asc)(k) for k in keys), index)
 
 
-def global_position(df: DataFrame, order: Sequence[str], out: str = "position", buckets: int = 256) -> DataFrame:
+def global_position(df: DataFrame, order: Sequence[str], out: str = "position", buckets: int = 64) -> DataFrame:
     """Numbers all rows from 0 in an order, without one task for all.
 
     Rows are dealt into ranges of the first ordering column by approximate

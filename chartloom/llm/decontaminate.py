@@ -11,6 +11,9 @@ at a placeholder, where the item's value goes to one value of the document throu
 (slot consistency).  A document is contaminated by an item when such words
 make up ``percent`` of the item.
 
+Templates alone would lose text in other case and runs of names or numbers, so
+windows of the words as they are, but for case, are joined beside them.
+
 Both sides of the window join are counted first: the benchmark's windows are
 broadcast only up to ``broadcast_windows`` rows, and else shuffled.  Texts of
 documents that met an item are read again and only they are shuffled; a bounded
@@ -50,8 +53,8 @@ class BenchmarkDecontamination:
     """Pairs of documents and the benchmark items they hold, numbers, names and units changed or not.
 
     A null or blank text holds nothing and is held by nothing; so is an item of
-    fewer than ``window`` words.  A window counts with ``literals`` words that are no
-    placeholders at least.  Ids may repeat: rows with one id are judged apart and reported
+    fewer than ``window`` words.  A template window counts with ``literals`` words that are no
+    placeholders at least; windows of the words as they are all count.  Ids may repeat: rows with one id are judged apart and reported
     as one.  A null id of a document is kept as such by ``clean``.  Other columns are kept by
     ``clean``, whatever their names.  Empty tables give an empty result.
     """
@@ -59,11 +62,11 @@ class BenchmarkDecontamination:
     def __init__(self, window: int = 5, stride: int = 3, literals: int = 2, percent: int = 80, broadcast_windows: int = 1_000_000):
         self.window, self.stride, self.literals, self.percent, self.most = window, stride, literals, percent, broadcast_windows
 
-    def _windows(self, words: Column, stride: int) -> Column:
-        """(hash, place) of the windows of an array of words."""
+    def _windows(self, words: Column, stride: int, kind: int) -> Column:
+        """Hashes of the windows of an array of words; template words (kind 0) and words as they are but for case (1) never meet."""
         last = F.size(words) - self.window
         starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, self.window)))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(kind), F.slice(words, i + 1, self.window)))
 
     def matches(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """(doc_id, item_id, covered, item_words, slots, changed), a row for each contaminated pair.
@@ -76,18 +79,24 @@ class BenchmarkDecontamination:
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain(F.col("text")).alias("raw"))
         items = items.select("item_id", F.split("raw", " ").alias("raw"), F.split(template(F.col("raw")), " ").alias("tpl")).where(F.size("tpl") >= self.window)
         items = scratch.keep(items.select(F.xxhash64("item_id", "raw").alias("item"), "item_id", "raw", "tpl").dropDuplicates(["item"]), "items")
-        spots = items.select("item", "tpl", F.posexplode(self._windows(F.col("tpl"), 1)).alias("at", "hash"))
+        spots = items.select("item", "tpl", F.posexplode(self._windows(F.col("tpl"), 1, 0)).alias("at", "hash"))
         marks = F.aggregate(F.slice("tpl", F.col("at") + 1, self.window), F.lit(0), lambda n, w: n + F.when(w.isin(NUMBER, NAME, UNIT), 0).otherwise(1))
-        spots = scratch.keep(spots.where(marks >= self.literals).select("item", "at", "hash"), "spots")
+        spots = spots.where(marks >= self.literals).select("item", "at", "hash", F.lit(0).alias("kind"))
+        low = F.transform("raw", F.lower)
+        spots = scratch.keep(spots.unionByName(items.select("item", F.posexplode(self._windows(low, 1, 1)).alias("at", "hash"), F.lit(1).alias("kind"))), "spots")
         near = spots.count() <= self.most
 
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
         src = src.withColumn("row", F.xxhash64("doc_id", "text"))
-        tpl = src.select("row", F.split(template(plain(F.col("text"))), " ").alias("tpl"))
-        there = tpl.select("row", F.posexplode(self._windows(F.col("tpl"), self.stride)).alias("n", "hash"))
+        tpl = src.select("row", plain(F.col("text")).alias("raw"))
+        tpl = tpl.select("row", F.split(template(F.col("raw")), " ").alias("tpl"), F.split(F.lower("raw"), " ").alias("raw"))
+        tpl = tpl.select("row", self._windows(F.col("tpl"), self.stride, 0).alias("w0"), self._windows(F.col("raw"), self.stride, 1).alias("w1"))
+        # Both kinds in one list: template windows, then as many of words as they are.
+        there = tpl.select("row", F.size("w0").alias("m"), F.posexplode(F.concat("w0", "w1")).alias("n", "hash"))
         side = F.broadcast(spots) if near else spots
-        met = there.join(side, "hash").select("row", "item", (F.col("n") * self.stride - F.col("at")).cast("int").alias("shift"))
-        met = scratch.keep(met.groupBy("row", "item", "shift").agg(F.count("*").alias("hits")), "met")
+        place = F.col("n") - F.when(F.col("kind") == 1, F.col("m")).otherwise(0)
+        met = there.join(side, "hash").select("row", "item", (place * self.stride - F.col("at")).cast("int").alias("shift"), "kind")
+        met = scratch.keep(met.groupBy("row", "item", "shift").agg(F.min("kind").alias("kind")), "met")
 
         rows = met.select("row").distinct()
         words = bloom.words_for(rows.count())
@@ -102,16 +111,19 @@ class BenchmarkDecontamination:
         low = F.greatest(F.lit(0), -F.col("shift"))
         high = F.least(size, F.size("tpl") - F.col("shift"))
         cut = over.select(
-            "row", "doc_id", "item", "item_id", "shift", size.alias("size"), low.alias("low"),
+            "row", "doc_id", "item", "item_id", "shift", "kind", size.alias("size"), low.alias("low"),
             F.slice("iraw", low + 1, high - low).alias("iraw"), F.slice("itpl", low + 1, high - low).alias("itpl"),
             F.slice("raw", low + F.col("shift") + 1, high - low).alias("draw"), F.slice("tpl", low + F.col("shift") + 1, high - low).alias("dtpl"),
         )
-        pairs = cut.select("row", "doc_id", "item", "item_id", "shift", "size", "low", F.posexplode(F.arrays_zip("iraw", "itpl", "draw", "dtpl")).alias("k", "w"))
-        pairs = pairs.select("row", "doc_id", "item", "item_id", "shift", "size", (F.col("low") + F.col("k")).alias("at"), "w.*").where("itpl = dtpl OR lower(iraw) = lower(draw)")
+        pairs = cut.select("row", "doc_id", "item", "item_id", "shift", "kind", "size", "low", F.posexplode(F.arrays_zip("iraw", "itpl", "draw", "dtpl")).alias("k", "w"))
+        pairs = pairs.select("row", "doc_id", "item", "item_id", "shift", "kind", "size", (F.col("low") + F.col("k")).alias("at"), "w.*").where("itpl = dtpl OR lower(iraw) = lower(draw)")
         # Runs of agreeing words: places less their rank in the run are constant.
         order = "PARTITION BY row, item, shift ORDER BY at"
         pairs = pairs.withColumn("run", F.expr(f"at - row_number() OVER ({order})"))
         pairs = pairs.withColumn("long", F.expr("count(*) OVER (PARTITION BY row, item, shift, run)")).where(F.col("long") >= self.window)
+        # Where no template window met, a run has as large a share of equal words as a template window has of literals.
+        pairs = pairs.withColumn("same", F.expr("sum(int(lower(iraw) = lower(draw))) OVER (PARTITION BY row, item, shift, run)"))
+        pairs = pairs.where((F.col("kind") == 0) | (F.col("same") * self.window >= self.literals * F.col("long")))
         # A slot's value must go to one value: the one it goes to most often, the least of equals.
         slot = F.col("itpl").isin(NUMBER, NAME, UNIT)
         value = F.when(slot, F.lower("iraw"))

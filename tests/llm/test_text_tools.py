@@ -175,6 +175,19 @@ def test_decontamination(spark):
     assert tool.matches(df.limit(0), b).count() == tool.matches(df, b.limit(0)).count() == 0
 
 
+def contaminated(spark, docs, bench, **options):
+    b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in BenchmarkDecontamination(**options).matches(spark.createDataFrame(list(enumerate(docs)), DOCS), b).collect()}
+
+
+def test_decontamination_of_names_numbers_and_other_case(spark):
+    names = "Paris Berlin Madrid Rome Vienna Oslo London Prague Dublin Athens Lisbon Warsaw"
+    numbers = "12 34 56 78 90 11 22 33 44 55 66 77"
+    plain = "how many old apples does the quiet farmer sell at the market near the river"
+    docs = [f"some words before it {names} and after", f"so {numbers} end", plain.title(), names.lower(), " ".join(str(i) for i in range(500, 512)), "Anna Bert Clara Dora Emil Fritz Gerda Hans Ida Jan Karl Lena"]
+    assert contaminated(spark, docs, [names, numbers, plain]) == {(0, 0), (1, 1), (2, 2), (3, 0)}
+
+
 def labelled(spark):
     rng = random.Random(11)
     docs, marks = [], []

@@ -3,8 +3,8 @@
 A text becomes words (runs of letters or digits) in which numbers, capitalised
 names and units are typed placeholders, the rest lower case.  Windows of five
 such template words of the benchmark are hashed and joined with windows of the
-documents.  The documents' windows start at every third word, so that every
-shared run of seven template words or more is met.  Where a document and an
+documents.  Windows start at every word on both sides, so that every
+shared run of five words or more is met.  Where a document and an
 item meet, the two are laid over each other at that offset and compared word by
 word: a word counts where templates, or words but for case, agree in a run of five words or more and,
 at a placeholder, where the item's value goes to one value of the document throughout
@@ -59,7 +59,7 @@ class BenchmarkDecontamination:
     ``clean``, whatever their names.  Empty tables give an empty result.
     """
 
-    def __init__(self, window: int = 5, stride: int = 3, literals: int = 2, percent: int = 80, broadcast_windows: int = 1_000_000):
+    def __init__(self, window: int = 5, stride: int = 1, literals: int = 2, percent: int = 80, broadcast_windows: int = 1_000_000):
         self.window, self.stride, self.literals, self.percent, self.most = window, stride, literals, percent, broadcast_windows
 
     def _windows(self, words: Column, stride: int, kind: int) -> Column:

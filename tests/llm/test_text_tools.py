@@ -188,6 +188,12 @@ def test_decontamination_of_names_numbers_and_other_case(spark):
     assert contaminated(spark, docs, [names, numbers, plain]) == {(0, 0), (1, 1), (2, 2), (3, 0)}
 
 
+def test_decontamination_of_short_items_at_every_place(spark):
+    five, six = "seven quiet farmers sold apples", "nobody knows which river runs north"
+    docs = [f"{'w ' * n}{x} z" for n in range(6) for x in (five, six)]
+    assert contaminated(spark, docs, [five, six]) == {(i, i % 2) for i in range(len(docs))}
+
+
 def labelled(spark):
     rng = random.Random(11)
     docs, marks = [], []

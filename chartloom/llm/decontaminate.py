@@ -9,7 +9,8 @@ item meet, the two are laid over each other at that offset and compared word by
 word: a word counts where templates, or words but for case, agree in a run of five words or more and,
 at a placeholder, where the item's value goes to one value of the document throughout
 (slot consistency).  A document is contaminated by an item when such words
-make up ``percent`` of the item.
+make up ``percent`` of the item, or ``passage`` of them lie in a row at one
+offset, as large a share of which are equal words as a template window has literals.
 
 Templates alone would lose text in other case and runs of names or numbers, so
 windows of the words as they are, but for case, are joined beside them.
@@ -59,8 +60,8 @@ class BenchmarkDecontamination:
     ``clean``, whatever their names.  Empty tables give an empty result.
     """
 
-    def __init__(self, window: int = 5, stride: int = 1, literals: int = 2, percent: int = 80, broadcast_windows: int = 1_000_000):
-        self.window, self.stride, self.literals, self.percent, self.most = window, stride, literals, percent, broadcast_windows
+    def __init__(self, window: int = 5, stride: int = 1, literals: int = 2, percent: int = 80, passage: int = 13, broadcast_windows: int = 1_000_000):
+        self.window, self.stride, self.literals, self.percent, self.passage, self.most = window, stride, literals, percent, passage, broadcast_windows
 
     def _windows(self, words: Column, stride: int, kind: int) -> Column:
         """Hashes of the windows of an array of words; template words (kind 0) and words as they are but for case (1) never meet."""
@@ -131,11 +132,16 @@ class BenchmarkDecontamination:
         goes = goes.withColumn("votes", F.expr("count(*) OVER (PARTITION BY row, item, shift, itpl, from, to)"))
         goes = goes.withColumn("best", F.expr("max(struct(votes, to)) OVER (PARTITION BY row, item, shift, itpl, from)"))
         fine = goes.where(~slot | (F.col("best.to") == F.col("to")))
+        # What is left of a run where slots are inconsistent, in parts of their own.
+        fine = fine.withColumn("part", F.expr(f"at - row_number() OVER ({order})"))
+        part = "OVER (PARTITION BY row, item, shift, part)"
+        fine = fine.withColumn("quoted", F.expr(f"count(*) {part}")).withColumn("equal", F.expr(f"sum(int(lower(iraw) = lower(draw))) {part}"))
+        quoted = (F.col("quoted") >= self.passage) & (F.col("equal") * self.window >= self.literals * F.col("quoted"))
         place = fine.groupBy("row", "doc_id", "item", "item_id", "size", "at").agg(
-            F.max(slot.cast("int")).alias("slot"), F.min(F.when(slot, (F.col("from") != F.col("to")).cast("int")).otherwise(0)).alias("changed")
+            F.max(slot.cast("int")).alias("slot"), F.min(F.when(slot, (F.col("from") != F.col("to")).cast("int")).otherwise(0)).alias("changed"), F.max(quoted).alias("quoted")
         )
-        whole = place.groupBy("row", "doc_id", "item", "item_id", "size").agg(F.count("*").alias("covered"), F.sum("slot").alias("slots"), F.sum("changed").alias("changed"))
-        good = whole.where(100 * F.col("covered") >= self.percent * F.col("size"))
+        whole = place.groupBy("row", "doc_id", "item", "item_id", "size").agg(F.count("*").alias("covered"), F.sum("slot").alias("slots"), F.sum("changed").alias("changed"), F.max("quoted").alias("quoted"))
+        good = whole.where((100 * F.col("covered") >= self.percent * F.col("size")) | F.col("quoted"))
         best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", (-F.col("changed")).alias("same"), F.col("size").alias("item_words"), "slots")).alias("m"))
         return best.select("doc_id", "item_id", F.col("m.covered").cast("long").alias("covered"), F.col("m.item_words").cast("long").alias("item_words"), F.col("m.slots").cast("long").alias("slots"), (-F.col("m.same")).cast("long").alias("changed"))
 

@@ -194,6 +194,12 @@ def test_decontamination_of_short_items_at_every_place(spark):
     assert contaminated(spark, docs, [five, six]) == {(i, i % 2) for i in range(len(docs))}
 
 
+def test_decontamination_of_a_passage_of_a_long_item(spark):
+    words = [f"{a}{b}" for a in ("ba", "co", "di", "fu", "ge", "ha", "ki", "lo") for b in ("lan", "mor", "net", "pol", "rus", "tik", "vex", "zor")][:59]
+    docs = [f"a b c {' '.join(words[i : i + n])} d e f" for i, n in ((0, 47), (30, 13), (7, 12))]
+    assert contaminated(spark, docs, [" ".join(words)]) == {(0, 0), (1, 0)}
+
+
 def labelled(spark):
     rng = random.Random(11)
     docs, marks = [], []

@@ -5,9 +5,10 @@ Three formats (assignments, access keys, hex runs) are found as stated in
 For each label a bounded sample of values makes a prefix tree of
 character classes with counts; states whose continuations do not differ
 significantly (Hoeffding's bound, as in ALERGIA) are merged into a probabilistic
-automaton.  Every other token that could be a credential is scored by how much
-likelier an automaton makes it than the characters of ordinary words do, and
-added as kind ``format`` where the mean log ratio a character is high.
+automaton.  Every other token of twelve credential characters or more is scored by
+how much likelier an automaton makes it than ordinary text does (words, words in
+capitals, numbers and rules), and added as kind ``format`` where the mean log
+ratio a character is high.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # Maximal runs of 16 and more are the matches of [0-9a-f]+ that count.
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -52,6 +53,8 @@ def classes(value: str) -> str:
 _CLASS = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdef"}, **{c: "g" for c in "ghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEF"}, **{c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"}})
 _WIDTH = {"9": 10, "a": 6, "g": 20, "A": 6, "G": 20}
 END = "$"
+PREFIX = 200
+"""Characters of a value that an automaton learns from; of a longer one it does not learn where it ends."""
 
 
 class Automaton:
@@ -62,16 +65,18 @@ class Automaton:
         self.count: list[dict[str, int]] = [{}]
         for s in strings:
             at = 0
-            for c in s:
+            for c in s[:PREFIX]:
                 self.count[at][c] = self.count[at].get(c, 0) + 1
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
                     self.count.append({})
                 at = self.next[at][c]
-            self.count[at][END] = self.count[at].get(END, 0) + 1
+            if len(s) <= PREFIX:
+                self.count[at][END] = self.count[at].get(END, 0) + 1
         self.bound, self.least = math.sqrt(0.5 * math.log(2 / alpha)), least
         self._merge()
+        self.log = [{c: math.log((n.get(c, 0) + 0.01) / (sum(n.values()) + 0.2)) - math.log(_WIDTH.get(c, 1)) for c in [*to, END]} for n, to in zip(self.count, self.next)]
 
     def _alike(self, p: int, q: int) -> bool:
         todo = [(p, q)]
@@ -125,12 +130,11 @@ class Automaton:
         """Of a class string, with the share of each character in its class."""
         at, total = 0, 0.0
         for c in s:
-            n, k = self.count[at].get(c, 0), sum(self.count[at].values())
-            total += math.log((n + 0.01) / (k + 0.2)) - math.log(_WIDTH.get(c, 1))
             if c not in self.next[at]:
                 return -math.inf
+            total += self.log[at][c]
             at = self.next[at][c]
-        return total + math.log((self.count[at].get(END, 0) + 0.01) / (sum(self.count[at].values()) + 0.2))
+        return total + self.log[at][END]
 
 
 def train(samples: dict[str, list[str]]) -> dict[str, Automaton]:
@@ -139,24 +143,38 @@ def train(samples: dict[str, list[str]]) -> dict[str, Automaton]:
 
 _WORD = {"9": 0.002, "a": 0.26, "g": 0.68, "A": 0.012, "G": 0.03}
 """How often a character of ordinary prose is of a class; marks share the rest."""
+_CAPITALS = {"9": 0.002, "a": 0.006, "g": 0.016, "A": 0.26, "G": 0.68}
+_DIGITS = {"9": 0.84, "a": 0.006, "g": 0.016, "A": 0.006, "G": 0.016}
+_RULE = {"9": 0.002, "a": 0.002, "g": 0.002, "A": 0.002, "G": 0.002}
+_MARKS = frozenset("+/_=-")
+
+
+def _logs(shares: dict[str, float], mark: float) -> dict[str, float]:
+    return {c: math.log(shares[c] / w) for c, w in _WIDTH.items()} | {c: math.log(mark) for c in _MARKS}
+
+
+_PLAIN = [(math.log(share), _logs(model, mark)) for share, model, mark in ((0.97, _WORD, 0.003), (0.01, _CAPITALS, 0.003), (0.01, _DIGITS, 0.02), (0.01, _RULE, 0.19))]
+"""Ordinary text: words, words in capitals, numbers, rules of marks; how common each is, and what its characters are."""
+
+_OTHER = math.log(0.003)
 
 
 def ratio(value: str, automata: dict[str, Automaton]) -> float:
     """The best mean log ratio a character of an automaton over ordinary prose."""
     s = classes(value)
-    plain = sum(math.log(_WORD.get(c, 0.003) / _WIDTH.get(c, 1)) for c in s)
+    plain = max(share + sum(logs.get(c, _OTHER) for c in s) for share, logs in _PLAIN)
     return max(((a.log_likelihood(s) - plain) / len(s) for a in automata.values()), default=-math.inf)
 
 
 def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens of 16 to 200 credential characters with digits and letters that touch no base span."""
+    """Tokens of 12 credential characters or more that touch no base span."""
     out, k = [], 0
     spans = sorted((s[1], s[2]) for s in taken)
     for m in _TOKEN.finditer(text):
         while k < len(spans) and spans[k][1] <= m.start():
             k += 1
         v = m[0]
-        if (k == len(spans) or spans[k][0] >= m.end()) and sum(c.isdigit() for c in v) >= 3 and any(c.isalpha() for c in v):
+        if k == len(spans) or spans[k][0] >= m.end():
             out.append((m.start(), m.end(), v))
     return out
 
@@ -174,7 +192,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, salt = text or "", salt + 1
             base = base_spans(text)
             found = ",".join(f"{k}:{a}:{b}" for k, a, b, _ in base)
-            known = [{"kind": k, "place": a, "till": b, "value": v[:200]} for k, a, b, v in base]
+            known = [{"kind": k, "place": a, "till": b, "value": v[: PREFIX + 1]} for k, a, b, v in base]
             free = [{"kind": "format", "place": a, "till": b, "value": v} for a, b, v in candidates(text, base)]
             rows.append((salt, doc, *(sum(k == s[0] for s in base) for k in KINDS), hashlib.sha256(found.encode()).hexdigest(), found, known, free))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, kinds)], names=names)
@@ -203,7 +221,7 @@ class SecretScanner:
     Ids may be null or repeat: each row is a text.  Other columns are ignored;
     an empty table gives an empty result.  Automata are learnt from at most
     ``sample`` different labelled values of each kind, those with the least
-    hashes, 200 characters of each; a kind with fewer than 20 has none.
+    hashes, 200 characters of each (a longer one teaches no end); a kind with fewer than 20 has none.
     """
 
     def __init__(self, id_col: str = "doc_id", text_col: str = "text", sample: int = 400, least_ratio: float = 0.4):

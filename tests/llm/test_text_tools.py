@@ -70,6 +70,19 @@ def test_automata_tell_formats_from_words():
     assert secret_scan.ratio(like, made) > 0.4 > secret_scan.ratio("internationalization", made)
 
 
+def test_secrets_of_few_digits_and_any_length(spark):
+    rng = random.Random(10)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = lambda n, c=chars: "".join(rng.choice(c) for _ in range(n))
+    docs = [(i, f"token={made(rng.choice([12, 20, 40, 260]))} and so on") for i in range(120)]
+    keys = ["kQzRtWbXmPvLsNgH", "XmqTBrKeWzPdYhNaGvUsJcLf", made(900), made(66, chars[:52]) + made(10), made(14)]
+    words = ["internationalization", "INTERNATIONALIZATION", "JavaScriptFrameworkError", "-" * 40, "=" * 20, "1234567890123", "2024-11-26-1530", "state-of-the-art-design", "usr/local/lib/python"]
+    docs += [(200 + i, f"some {k} here") for i, k in enumerate(keys + words)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.SecretScanner().scan(spark.createDataFrame(docs, DOCS)).collect()}
+    assert [got[200 + i] for i in range(len(keys))] == [f"format:5:{5 + len(k)}" for k in keys]
+    assert not any(got[200 + len(keys) + i] for i in range(len(words)))
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "long page é " * 200
     rows = [(1, "http://a", long), (2, "http://b", long), (3, "c\r\nd", None), (4, None, "short"), (5, "e", "short"), (6, "f", "WARC/1.1\r\n\r\n" + long), (None, "g", ""), (7, "h", long)]

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalar import col, finite, half_up
 from .stats import attach
@@ -74,23 +75,47 @@ def autocorrelation(df: DataFrame, value: str, order: Sequence[str], lags: Seque
     return one.select(*by, F.explode("e").alias("e")).select(*by, "e.lag", "e.correlation")
 
 
-def periodicity(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), most: int = 256) -> DataFrame:
+def _first_peak(v, most: int | None) -> int:
+    """The period of one series in order; all lags at once by Fourier transforms, and those that decide again by plain sums."""
+    import numpy as np
+
+    n = len(v)
+    d = v - v.mean() if n else v
+    total = float(d @ d)
+    last = min(n // 2 - 1, n if most is None else most)
+    if n < 10 or total < 2.220446049250313e-16:
+        return 0
+    size = 1 << (n + last).bit_length()
+    f = np.fft.rfft(d, size)
+    c = np.fft.irfft(f.real**2 + f.imag**2, size)[: last + 1] / total
+    c[0] = 1.0
+    exact = lambda k: float(d[: n - k] @ d[k:]) / total if k else 1.0
+    # Without a fall yet, the correlation is 1; after the first lag below that it has fallen.
+    near = np.flatnonzero((c[1:] >= c[:-1] - 1e-12) & (c[1:] > 0.3 - 1e-12)) + 1
+    for k in near.tolist():
+        if k > 1 and exact(k) > 0.3 and exact(k) >= exact(k - 1):
+            return k
+    return 0
+
+
+def periodicity(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), most: int | None = None) -> DataFrame:
     """(period): the first lag at which the autocorrelation stops rising after a fall, above 0.3; 0 for none.
 
-    Lags are below half the length and at most ``most``.  Series of fewer than ten values have none.
+    All lags below half the length, rounded down, count, or those up to ``most``.  Series of fewer than
+    ten values have none.  A task holds the values of one series.
     """
-    lags = list(range(1, most + 1))
-    corr = autocorrelation(df, value, order, lags, by)
-    n = df.where(finite(value)).groupBy(*by).agg(F.count("*").alias("n"))
-    held = attach(corr, n, by).where(F.col("lag") < F.col("n") / 2)
-    step = """aggregate(array_sort(collect_list(struct(lag, correlation))),
-        named_struct('prev', 1.0D, 'fell', false, 'found', 0),
-        (s, e) -> named_struct('prev', e.correlation, 'fell', s.fell OR e.correlation < s.prev,
-            'found', IF(s.found = 0 AND s.fell AND e.correlation >= s.prev AND e.correlation > 0.3, e.lag, s.found)),
-        s -> s.found)"""
-    found = held.groupBy(*by).agg(F.expr(step).alias("p"))
-    out = n.join(found, list(by), "left") if by else n.join(F.broadcast(found), F.lit(True), "left")
-    return out.select(*by, F.when(F.col("n") < 10, 0).otherwise(F.coalesce("p", F.lit(0))).cast("int").alias("period"))
+    import pandas as pd
+
+    good = df.where(finite(value)).select(*by, F.row_number().over(_over(by, order)).alias("__i"), col(value).cast("double").alias("__v"))
+
+    def peak(key, t):
+        return pd.DataFrame([[*key, _first_peak(t.sort_values("__i")["__v"].to_numpy(), most)]], columns=[*by, "period"])
+
+    found = good.groupBy(*by).applyInPandas(peak, StructType([*(good.schema[k] for k in by), StructField("period", IntegerType())]))
+    if by:
+        return found
+    # A row where there are no values, too.
+    return found.agg(F.coalesce(F.max("period"), F.lit(0)).cast("int").alias("period"))
 
 
 def anomalies(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), sensitivity: float = 3.0, mode: str = "typed") -> DataFrame:

@@ -321,7 +321,7 @@ def autocorr(spark, sf_dir):
           FROM (SELECT *, lag(c) OVER (PARTITION BY event_type ORDER BY lag) AS prev0 FROM a) WINDOW w AS (PARTITION BY event_type ORDER BY lag))
           SELECT event_type, coalesce(min(lag) FILTER (WHERE fell AND c >= prev AND c > 0.3), 0)::INT AS period FROM f GROUP BY 1""")
 def periodicity_by_type(spark, sf_dir):
-    return series.periodicity(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"], most=32)
+    return series.periodicity(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"])
 
 
 @query(f"""WITH {EV}, {_POS}, m AS (SELECT median(value) AS m FROM ev), a AS (SELECT median(abs(value - m)) AS mad FROM ev, m),

@@ -109,6 +109,26 @@ def test_periodicity_and_spacing(spark):
     assert not series.monotonic(make(spark, [1, 3, 2]), "y", ["idx"]).first()["monotonic"]
 
 
+def test_periodicity_beyond_256_equals_brute_force(spark):
+    def brute(y):
+        n, m = len(y), sum(y) / len(y)
+        var, prev, fell = sum((v - m) ** 2 for v in y), 1.0, False
+        for lag in range(1, n // 2):
+            c = sum((y[i] - m) * (y[i + lag] - m) for i in range(n - lag)) / var
+            if c < prev:
+                fell = True
+            elif fell and c > 0.3:
+                return lag
+            prev = c
+        return 0
+
+    values = {"long": [math.sin(2 * math.pi * i / 400) for i in range(1300)], "noise": [float(i * 7919 % 101) for i in range(300)], "short": [0.0, 1.0] * 6}
+    rows = [(k, i, y) for k, v in values.items() for i, y in enumerate(v)]
+    got = {r["k"]: r["period"] for r in series.periodicity(spark.createDataFrame(rows, "k string, idx long, y double"), "y", ["idx"], ["k"]).collect()}
+    assert got == {k: brute(v) for k, v in values.items()} and got["long"] > 256
+    assert series.periodicity(make(spark, values["short"]).where("false"), "y", ["idx"]).first()["period"] == 0
+
+
 def test_shapes(spark):
     rows = [(k, i, f(i)) for k, f in (("a", lambda i: math.sin(i / 10)), ("b", lambda i: math.sin(i / 10 + 0.3)), ("c", lambda i: 50.0)) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, idx long, y double")

@@ -3,7 +3,8 @@
 A window of n words can repeat only if each of its parts does.  So windows are
 first judged by parts of n / 4 words, those that survive by parts of n / 2, and
 those that survive by all n words; each level counts only what the level
-before found repeated, and the levels end where nothing survives.
+before found repeated, and the levels end where nothing survives.  Whole windows are equal
+when 96 bits of hashes over their words are.
 
 At the levels below n a window is judged by one part: the one with the least
 hash of all its parts of that length.  Equal windows have equal least parts, so
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -107,7 +108,7 @@ def surplus(key: np.ndarray) -> np.ndarray:
 
 
 def _describe(window: int, length: int):
-    names = ["doc_id", "n_words", "seq", "sha", "parts", "known"]
+    names = ["doc_id", "rid", "n_words", "seq", "sha", "parts", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -129,9 +130,9 @@ def _describe(window: int, length: int):
                 use = fresh[owner]
                 key, owner = key[use], owner[use]
                 more = surplus(key)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(w.first)), pa.array(seq), pa.array(sha), _lists(key[~more], owner[~more], b - a), _lists(key[more], owner[more], b - a)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("rid").slice(a, b - a), pa.array(np.diff(w.first)), pa.array(seq), pa.array(sha), _lists(key[~more], owner[~more], b - a), _lists(key[more], owner[more], b - a)], names=names)
 
-    return run, "doc_id long, n_words long, seq long, sha string, parts array<long>, known array<long>"
+    return run, "doc_id long, rid long, n_words long, seq long, sha string, parts array<long>, known array<long>"
 
 
 _ONE_SPACE = bytes(32 if W.SPACE[b] else b for b in range(256))
@@ -147,7 +148,7 @@ def _spans(w: W.Words) -> tuple[list[int], list[int]]:
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, ..., known) sorted by key, those that are known to repeat or do not have their key alone."""
+    """Of rows (key, check, ..., known) sorted by key and check, those that are known to repeat or do not have both alone."""
     held, before, names = None, False, None
     for batch in batches:
         if not batch.num_rows:
@@ -162,10 +163,10 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
         if held is not None:
             columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-        key = columns[0]
+        key, check = columns[:2]
         same = np.zeros(len(key) + 1, bool)
         same[0] = before
-        same[1:-1] = key[1:] == key[:-1]
+        same[1:-1] = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
         take = np.flatnonzero((same[:-1] | same[1:])[:-1])
         held, before = [c[-1:] for c in columns], bool(same[-2])
         yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in columns], names=names)
@@ -173,9 +174,18 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
 
 
+def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``repeated`` leaves, without the keys."""
+    for batch in repeated(batches):
+        yield batch.select(["seq", "place"])
+
+
 def _extend(window: int, before: int, length: int):
-    """Texts with the repeated keys of the level before: the parts of the next level."""
-    names = ["key", "seq", "place", "known"]
+    """Texts with the repeated keys of the level before: the parts of the next level.
+
+    Windows of the whole length are told apart by 32 bits more.
+    """
+    names = ["key", "check", "seq", "place", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,9 +196,22 @@ def _extend(window: int, before: int, length: int):
                 key, at = p.chosen(length, p.valid & np.isin(least, known))
                 owner = np.searchsorted(w.first, at, "right") - 1
                 seq = batch.column("seq").slice(a, b - a).to_numpy()[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seq), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(surplus(key))], names=names)
+                check = np.zeros(len(at), np.int32)
+                if length == window:
+                    # Another sum over the words' hashes.
+                    other = W.Words.windows(_Mixed(w), window)[0][at]
+                    check = (other >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                more = surplus(key ^ W.mix(check.view(np.uint32).astype(np.uint64), 7))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check), pa.array(seq), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(more)], names=names)
+
+    return run, "key long, check int, seq long, place int, known boolean"
 
-    return run, "key long, seq long, place int, known boolean"
+
+class _Mixed:
+    """Words under other hashes."""
+
+    def __init__(self, w: W.Words):
+        self.hashes, self.first = W.mix(w.hashes, 61), w.first
 
 
 def _remove(window: int, with_text: bool):
@@ -222,7 +245,7 @@ class SubstringDedup:
     Windows are judged on the input: every copy of a passage goes.  A null text
     has no words; a text of fewer words than a window keeps them all.  Ids may be
     null or repeat: each row is a text.  Other columns are ignored by
-    ``report``; an empty table gives an empty result.
+    ``report`` and kept by ``clean``, whatever their names; an empty table gives an empty result.
     """
 
     def __init__(self, window: int = 35, id_col: str = "doc_id", text_col: str = "text"):
@@ -233,42 +256,50 @@ class SubstringDedup:
         spark = docs.sparkSession
         scratch = Scratch(spark)
         n, steps = self.window, levels(self.window)
-        src = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).alias("text"))
+        src = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), self._rid().alias("rid"), F.col(self.text_col).alias("text"))
         run, shape = _describe(n, steps[0])
-        described = scratch.keep(src.mapInArrow(run, shape), "described")
-        rows = described.select("seq", F.explode("parts").alias("key"), F.lit(False).alias("known"))
-        rows = rows.union(described.where("size(known) > 0").select("seq", F.explode("known").alias("key"), F.lit(True).alias("known")))
-        found = scratch.keep(self._repeated(rows.select("key", "seq", "known"), "key long, seq long"), "level0")
+        full = scratch.keep(src.mapInArrow(run, shape), "full")
+        rows = full.select("seq", F.explode("parts").alias("key"), F.lit(False).alias("known"))
+        rows = rows.union(full.where("size(known) > 0").select("seq", F.explode("known").alias("key"), F.lit(True).alias("known")))
+        rows = rows.select("key", F.lit(0).alias("check"), "seq", "known")
+        found = scratch.keep(self._repeated(rows, repeated, "key long, check int, seq long"), "level0")
+        described = scratch.keep(full.drop("parts", "known"), "described")
+        scratch.drop("full")
         keys = found.groupBy("seq").agg(F.collect_set("key").alias("keys"))
 
-        # One row stands for each word sequence that has candidates.
-        held = described.join(found.select("seq").distinct(), "seq", "left_semi").groupBy("seq").agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n"))
-        held = scratch.keep(held, "held")
+        # One row stands for each word sequence that has candidates; others that a filter of these lets by go with the copies.
+        held = scratch.keep(described.join(found.select("seq").distinct(), "seq", "left_semi").groupBy("seq").agg(F.min("rid").alias("rid")), "held")
         words = bloom.words_for(held.count())
-        mark = F.xxhash64("doc_id")
-        some = bloom.flagged(src.withColumn("mark", mark), "mark", bloom.of(held.select(mark.alias("mark")), "mark", words), words, "maybe")
-        some = some.where("maybe").select("doc_id", "text")
-        work = some.alias("s").join(held.alias("h"), F.expr("s.doc_id <=> h.doc_id")).select("seq", "text")
-        run, shape = _pick()
-        work = scratch.keep(work.mapInArrow(run, shape).dropDuplicates(["seq"]), "work")
+        some = bloom.flagged(src.drop("doc_id"), "rid", bloom.of(held.select("rid"), "rid", words), words, "maybe").where("maybe").select("text")
+        run, shape = _named()
+        work = scratch.keep(some.mapInArrow(run, shape).dropDuplicates(["seq"]), "work")
 
         for i, (before, length) in enumerate(zip(steps, steps[1:]), 1):
             run, shape = _extend(n, before, length)
             rows = work.join(keys, "seq").select("seq", "text", "keys").mapInArrow(run, shape)
-            last = length == n
-            found = scratch.keep(self._repeated(rows if last else rows.drop("place"), "key long, seq long" + ", place int" * last), f"level{i}")
+            if length == n:
+                found = self._repeated(rows, places, "seq long, place int")
+            else:
+                found = self._repeated(rows.drop("place"), repeated, "key long, check int, seq long")
+            found = scratch.keep(found, f"level{i}")
             scratch.drop(f"level{i - 1}")
-            keys = found.groupBy("seq").agg(F.collect_set("key").alias("keys"))
-        places = found.groupBy("seq").agg(F.collect_list("place").alias("places"))
+            keys = found.groupBy("seq").agg(F.collect_set("key").alias("keys")) if length < n else None
+            if found.isEmpty():
+                break
+        at = found.groupBy("seq").agg(F.collect_list("place").alias("places")) if keys is None else found.select("seq", F.array().cast("array<int>").alias("places"))
         copies = described.groupBy("seq").agg(F.count("*").alias("copies")).where("copies > 1").withColumnRenamed("seq", "cseq")
         run, shape = _remove(n, with_text)
-        removed = work.join(places, "seq").select("seq", "text", "places").mapInArrow(run, shape)
+        removed = work.join(at, "seq").select("seq", "text", "places").mapInArrow(run, shape)
         return described.join(copies, F.expr("seq = cseq"), "left").drop("cseq"), removed
 
-    def _repeated(self, rows: DataFrame, shape: str) -> DataFrame:
+    def _rid(self) -> Column:
+        """A hash of a row's id and text."""
+        return F.xxhash64(F.col(self.id_col).cast("long"), F.lit(0), F.col(self.text_col))
+
+    def _repeated(self, rows: DataFrame, run, shape: str) -> DataFrame:
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartition(2 * parts, F.when(F.col("known"), F.xxhash64("seq", "key")).otherwise(F.col("key")))
-        return dealt.sortWithinPartitions("key").mapInArrow(repeated, shape)
+        return dealt.sortWithinPartitions("key", "check").mapInArrow(run, shape)
 
     def report(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256), a row for each row of ``docs``."""
@@ -281,13 +312,23 @@ class SubstringDedup:
             F.when(all_, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
         )
 
+    def clean(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with the words that stay in each text, one space between; texts that lose no word are as they were."""
+        described, removed = self._run(docs, True)
+        all_ = F.col("copies").isNotNull() & (F.col("n_words") >= self.window)
+        new = described.join(removed, "seq", "left").where(all_ | (F.col("n_removed") > 0)).select("rid", F.when(all_, F.lit("")).otherwise(F.col("kept")).alias("kept"))
+        new = Scratch(docs.sparkSession).keep(new.dropDuplicates(["rid"]), "new")
+        k = next(k for k in range(1, 99) if not any(c.lower().startswith("_" * k + "rid") for c in docs.columns))
+        rid = "_" * k + "rid"
+        out = docs.withColumn(rid, self._rid()).join(new.select(F.col("rid").alias(f"{rid}2"), F.col("kept").alias(f"{rid}3")), F.col(rid) == F.col(f"{rid}2"), "left")
+        return out.select(*(F.coalesce(f"{rid}3", self.text_col).alias(c) if c == self.text_col else F.col(c) for c in docs.columns))
+
 
-def _pick():
+def _named():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose text has the word sequence asked for: ids may repeat."""
+        """Texts under the identities of their word sequences."""
         for batch in batches:
             for a, b, w in W.rows(batch, "text"):
-                ok = _sequences(w).view(np.int64) == batch.column("seq").slice(a, b - a).to_numpy()
-                yield batch.slice(a, b - a).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([pa.array(_sequences(w).view(np.int64)), batch.column("text").slice(a, b - a)], names=["seq", "text"])
 
     return run, "seq long, text string"

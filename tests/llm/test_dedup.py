@@ -2,12 +2,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chartloom.llm.components import connected
 from chartloom.llm.exact_dedup import ExactDedup
-from chartloom.llm.jaccard_join import NgramJaccardJoin, bands, max_difference, max_partner, plan_band
+from chartloom.llm.jaccard_join import NgramJaccardJoin, bands, difference, excess, max_difference, max_partner, plan_band, plans, prefixes
 from chartloom.llm.scratch import Scratch
 from chartloom.llm.substring_dedup import SubstringDedup
 
@@ -86,6 +87,76 @@ def test_pigeonhole_bounds():
             assert exact - spare + 2 * near >= worst + 1 and (not spare or not near)
 
 
+def test_measured_meetings_choose_one_deletion_neighbourhoods():
+    """Where sets often share a passage, fewer and larger segments read with one deletion cost less."""
+    often = {i: (1e5, (0.01, 3.0, 60.0, 300.0, 900.0, 2000.0)) for i in range(60)}
+    exact, near, _ = plans(90, 200, often)
+    assert (near > 0).any() and (exact > 0).any()
+    exact, near, _ = plans(90, 200, {i: (1e5, (0.0,) * 6) for i in range(60)})
+    assert (near == 0).sum() > len(near) / 2
+
+
+def test_large_buckets_are_split_by_their_differences(spark, monkeypatch):
+    """Buckets are larger than ``PAIRED``: copies with edits, copies of a copy, and sets that share one passage."""
+    monkeypatch.setattr("chartloom.llm.jaccard_join.PAIRED", 2)
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(150)]
+    other = base[:60] + [f"u{i}" for i in range(90)]
+    docs = []
+    for i in range(160):
+        text = list(rng.choice([base, base, other]))
+        for _ in range(rng.randrange(0, 14)):
+            text[rng.randrange(150)] = f"e{rng.randrange(4000)}"
+        docs.append((i, " ".join(text)))
+        if rng.random() < 0.1:
+            base = text
+    for n, percent in ((3, 90), (5, 80)):
+        s = {i: sets(t, n) for i, t in docs}
+        edges = [(i, j) for i in s for j in s if i < j and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j])]
+        got = NgramJaccardJoin(n, percent).components(spark.createDataFrame(docs, SHAPE)).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == roots(list(s), edges)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_prefixes_lose_no_link(percent):
+    rng = random.Random(percent)
+    found = 0
+    for _ in range(4000):
+        pivot = set(range(rng.randrange(20, 60)))
+        a = {x for x in pivot if rng.random() < 0.93} | {rng.randrange(100, 112) for _ in range(rng.randrange(5))}
+        b = {x for x in a if rng.random() < 0.93} | {rng.randrange(100, 112) for _ in range(rng.randrange(4))}
+        centre = {x for x in pivot if rng.random() < 0.96} | {rng.randrange(200, 203)}
+        m = np.array(sorted(centre), np.uint64)
+        ka, kb, kp = (difference(np.array(sorted(x), np.uint64), m) for x in (a, b, pivot))
+        if not a or not b or excess(len(kp), len(pivot), percent) > min(excess(len(k), len(x), percent) for k, x in ((ka, a), (kb, b))):
+            continue
+        (la, pa), (lb, pb) = (prefixes((k, len(x)), (kp, len(pivot)), percent) for k, x in ((ka, a), (kb, b)))
+        assert la == (100 * len(a & pivot) >= percent * len(a | pivot))
+        if a != b and not (la and lb) and 100 * len(a & b) >= percent * len(a | b):
+            found += 1
+            if la or (not lb and excess(len(ka), len(a), percent) > excess(len(kb), len(b), percent)):
+                ka, kb, la, lb, pa, pb = kb, ka, lb, la, pb, pa
+            # b links, or a has the smaller excess.
+            assert set(ka[: pa[3]].tolist()) & set(kb[: pb[0]].tolist()) if lb else set(ka[: pa[1]].tolist()) & set(kb[: pb[2]].tolist())
+    assert found > 50
+
+
+def test_join_of_null_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, long), (7, long), (7, long + " x"), (None, long + " y"), (None, "alone " + long.upper()), (3, "other words here and there"), (None, ""), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, SHAPE).withColumns({"rid": F.lit(1), "_rid": F.lit(2), "_ridf": F.lit(3)})
+    join = NgramJaccardJoin(5, 80)
+    got = join.components(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"] > 0, str(r["component_id"])) for r in got) == sorted(
+        [("7", True, "7")] * 3 + [("None", True, "7")] * 2 + [("3", True, "3"), ("None", False, "None"), ("None", False, "None"), ("3", False, "3")]
+    )
+    kept = join.deduplicate(df)
+    assert kept.columns == df.columns
+    left = sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in kept.collect())
+    assert left == [("3", ""), ("3", "other"), ("7", "w0 w1"), ("None", ""), ("None", "")]
+    assert join.components(df.limit(0)).count() == join.deduplicate(df.limit(0)).count() == 0
+
+
 def test_distributed_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -142,3 +213,17 @@ def test_substrings_equal_brute_force(spark, window):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in SubstringDedup(window).report(df).collect()}
     assert got == want
     assert SubstringDedup(window).report(df.limit(0)).count() == 0
+
+
+def test_clean_texts_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 12), ("b", 9), ("c", 7)))
+    rows = [(1, f"{a} {b}"), (1, f"{c}\n{b}  tail"), (None, a), (None, a), (None, None), (2, "x  y"), (2, " ".join(["same"] * 20000)), (3, "")]
+    df = spark.createDataFrame(rows, SHAPE).withColumns({"rid": F.lit(1), "_rid": F.lit(2), "key": F.lit(3), "seq": F.lit(4)})
+    tool = SubstringDedup(5)
+    out = tool.clean(df)
+    assert out.columns == df.columns
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect())
+    assert got == sorted([("1", ""), ("1", f"{c} tail"), ("None", ""), ("None", ""), ("None", "None"), ("2", "x  y"), ("2", ""), ("3", "")])
+    lost = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in tool.report(df).collect())
+    assert lost == sorted([("1", 21, 21), ("1", 17, 9), ("None", 12, 12), ("None", 12, 12), ("None", 0, 0), ("2", 2, 0), ("2", 20000, 20000), ("3", 0, 0)])
+    assert tool.clean(df.limit(0)).count() == 0

@@ -641,7 +641,7 @@ class NgramJaccardJoin:
         # Buckets of two are done: one is the least.
         side = work.mixed(met.select("sig", "node", "lead", F.lit(CORE).cast("tinyint").alias("rank"), F.lit(0).cast("long").alias("over")), roots, 3, "mixed0")
         scratch.drop("met")
-        pairs, turn = work.crossing(side, "pairs0"), 0
+        pairs, turn = work.crossing(side, "pairs0", ["lead", "sig"]), 0
         while not (large := side.where("large")).isEmpty():
             turn += 1
             split = work.split(large, turn)
@@ -650,7 +650,7 @@ class NgramJaccardJoin:
             # The pivot has been compared with all.
             rows = split.where("node <> pivot").select("node", "lead", "over", F.explode(F.arrays_zip("keys", "marks")).alias("k"))
             side = work.mixed(rows.select(F.col("k.keys").alias("sig"), "node", "lead", F.col("k.marks").alias("rank"), "over"), roots, 2, f"mixed{turn}")
-            pairs = pairs.union(work.crossing(side, f"pairs{turn}"))
+            pairs = pairs.union(work.crossing(side, f"pairs{turn}", ["sig"]))
         links = links.union(work.verified(work.apart(pairs.distinct(), roots), "links"))
         roots = connected(links, scratch, "c_")
         return described.select("rid", "doc_id", "size", "node").join(roots, "node", "left")
@@ -709,11 +709,15 @@ class _Work:
         out = known.join(several.where("pairs > 0"), "sig").where(f"rank <= {CORE} OR n0 > 0 OR (rank = {MIDDLE} AND n1 > 0)")
         return self.scratch.keep(out.select("sig", "node", "lead", "root", "rank", "over", F.expr("pairs > most").alias("large")), name)
 
-    def crossing(self, side: DataFrame, name: str) -> DataFrame:
-        """Pairs of buckets that are not large, in different components, that sizes and sketches allow to link."""
+    def crossing(self, side: DataFrame, name: str, dealt: list[str]) -> DataFrame:
+        """Pairs of buckets that are not large, in different components, that sizes and sketches allow to link.
+
+        Rows are dealt by the first of ``dealt``: a lead that is a bucket's least set is in no more buckets than it
+        has signatures; the lead of a group that was split may be in most of them.
+        """
         parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = side.where("not large").join(self.brief.select("node", "size", *SKETCH), "node")
-        rows = rows.select("lead", "sig", "node", "size", "root", "rank", "over", *SKETCH).repartition(parts, "lead").sortWithinPartitions("lead", "sig", "rank")
+        rows = rows.select("lead", "sig", "node", "size", "root", "rank", "over", *SKETCH).repartition(parts, dealt[0]).sortWithinPartitions(*dealt, "rank")
         return self.scratch.keep(rows.mapInArrow(_cross(self.percent), "a long, b long"), name)
 
     def split(self, large: DataFrame, turn: int) -> DataFrame:

@@ -15,7 +15,9 @@ settles the rest.
 from __future__ import annotations
 
 import random
+import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,8 @@ class Encoder:
     """Byte-level BPE ids as little-endian unsigned 32-bit bytes, with a bounded cache of words.
 
     Reads a ``tokenizers`` file of a byte-level BPE and gives the ids that
-    library gives without special tokens; the merging itself is left to
+    library gives with ``add_special_tokens=False``: none are put around a text, and the name of an added
+    token within it is that token.  The merging itself is left to
     ``tiktoken``, whose ranks are the vocabulary's ids, as it needs a fraction of
     the time.  The pre-tokeniser always starts a new token at a single space
     between non-space runs, so such chunks are encoded apart and remembered.
@@ -58,7 +61,11 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", ())}
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", ())):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
+        self.cut = re.compile("|".join(map(re.escape, sorted(special, key=lambda k: (-len(k), k))))) if special else None
         names = byte_names()
         ranks = {bytes(names[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         bpe = tiktoken.Encoding("chartloom", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -69,6 +76,14 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
+    def _around(self, text: str) -> bytes:
+        """Ids of a text that names added tokens."""
+        at, out = 0, []
+        for m in self.cut.finditer(text):
+            out += [self._ids(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return b"".join(out) + self._ids(text[at:])
+
     def _word(self, p: str) -> bytes:
         """Ids of a space and a chunk; letters alone, or with one mark after them, need no splitting."""
         if p.isalpha():
@@ -84,6 +99,9 @@ class Encoder:
         inner, ids, word, out = self.inner, self._ids, self._word, []
         get = inner.__getitem__
         for t in texts:
+            if self.cut and self.cut.search(t):
+                out.append(self._around(t))
+                continue
             parts = t.split(" ")
             if "" in parts:
                 out.append(ids(t))
@@ -153,6 +171,16 @@ class Bins:
         self.by_left[left].append(b)
         self.mask |= 1 << left
 
+    def refill(self, b: int, left: int) -> None:
+        """Bin ``b`` has so much space now."""
+        stack = self.by_left[self.left[b]]
+        stack.remove(b)
+        if not stack:
+            self.mask ^= 1 << self.left[b]
+        self.left[b] = left
+        self.by_left[left].append(b)
+        self.mask |= 1 << left
+
     def score(self) -> float:
         """Mean squared fill: many full bins and few empty ones count as better."""
         return sum((1 - x / self.capacity) ** 2 for x in self.left) / max(1, len(self.left))
@@ -177,12 +205,41 @@ def crossover(giver: Bins, taker: Bins, lengths: list[int], share: float, rng: r
             child.add(list(items), left)
         else:
             loose.extend(i for i in items if i not in taken)
-    loose.sort(key=lambda i: -lengths[i])
-    return best_fit(loose, lengths, child)
+    return best_fit(sorted(exchange(child, loose, lengths), key=lambda i: -lengths[i]), lengths, child)
 
 
-def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int, population: int = 4, generations: int = 6) -> Bins:
-    """The best packing found; ``elites`` are bins that came whole from other islands."""
+def exchange(bins: Bins, loose: list[int], lengths: list[int]) -> list[int]:
+    """Fills bins by putting a longer displaced piece in the place of a shorter one; returns the pieces displaced then."""
+    loose = sorted(loose, key=lambda i: lengths[i])
+    sizes = [lengths[i] for i in loose]
+    for b in range(len(bins.items)):
+        if not loose:
+            break
+        items, left = bins.items[b], bins.left[b]
+        if not left:
+            continue
+        best = (0, 0, 0)
+        for k, i in enumerate(items):
+            at = bisect_right(sizes, lengths[i] + left) - 1
+            if at >= 0:
+                best = max(best, (sizes[at] - lengths[i], k, at))
+        gain, k, at = best
+        if gain > 0:
+            out, items[k] = items[k], loose.pop(at)
+            sizes.pop(at)
+            at = bisect_right(sizes, lengths[out])
+            loose.insert(at, out)
+            sizes.insert(at, lengths[out])
+            bins.refill(b, left - gain)
+    return loose
+
+
+def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int, population: int = 8, generations: int = 16) -> Bins:
+    """The best packing found; ``elites`` are bins that came whole from other islands.
+
+    Packings with fewer bins are better, and of these such with fuller bins: the space that is left
+    gathers in few bins, whose pieces migrate.  Generations end early where all bins but one are full.
+    """
     rng = random.Random(seed)
     down = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     people = [best_fit(down, lengths, Bins(capacity))]
@@ -195,14 +252,13 @@ def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int
         noise = [lengths[i] * rng.uniform(0.7, 1.3) for i in range(len(lengths))]
         people.append(best_fit(sorted(down, key=lambda i: -noise[i]), lengths, Bins(capacity)))
     rank = lambda b: (len(b.left), -b.score())
-    total, least = sum(lengths), 0
-    least = -(-total // capacity)
     for _ in range(generations):
         people.sort(key=rank)
-        if len(people[0].left) <= least:
+        if sum(x > 0 for x in people[0].left) <= 1:
             break
-        a, b = rng.sample(range(min(3, len(people))), 2) if len(people) > 1 else (0, 0)
-        child = crossover(people[a], people[b], lengths, rng.uniform(0.3, 0.7), rng)
+        # A tournament of two for either parent.
+        a, b = (min(rng.sample(range(len(people)), 2)) for _ in range(2))
+        child = crossover(people[a], people[b if b != a else (a + 1) % len(people)], lengths, rng.uniform(0.2, 0.7), rng)
         if rank(child) < rank(people[-1]):
             people[-1] = child
     return min(people, key=rank)
@@ -240,7 +296,7 @@ class SequencePacker:
     A null text is empty and makes one piece that holds the end id alone.  Ids
     may be null or repeat; each row is a document.  Columns beside id and text
     are ignored.  An empty table gives an empty result.  Every piece gets one
-    place; places in a sequence are gapless.
+    place; places in a sequence are gapless.  Sequences of one full piece have negative numbers.
     """
 
     def __init__(self, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", settle: float = 0.998, migrate: int = 16):
@@ -255,7 +311,7 @@ class SequencePacker:
         """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""
         scratch = Scratch(docs.sparkSession)
         pieces = scratch.keep(self.pieces(docs), "pieces")
-        settled = pieces.where(F.col("length") == self.capacity).select("salt", F.col("salt").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        settled = pieces.where(F.col("length") == self.capacity).select("salt", (-F.col("salt") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
         now = pieces.where(F.col("length") < self.capacity).select("salt", "length", F.lit(None).cast("long").alias("bin"))
         n, epoch, before = now.count(), 0, None
         while n:

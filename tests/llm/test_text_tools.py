@@ -47,6 +47,32 @@ def test_pii_patterns_discover_identifiers(spark):
     assert got[100] == f"ident:{a}:{a + 8}" and got[101] == ""
 
 
+def test_pii_discovered_instances_induce_patterns(spark):
+    """Seeds find instances by one pattern; these induce another, which finds identifiers that no seed stands beside."""
+    rng = random.Random(16)
+    docs = [(i, f"{rng.choice('abcd')} please reach member line {luhn_card(rng)} today") for i in range(30)]
+    known = [f"AB-{k}1-{k}7-x" for k in range(12, 18)]
+    docs += [(100 + i, f"so member line {v} today") for i, v in enumerate(known)]
+    docs += [(200 + i, f"of the customer ledger {v} twice") for i, v in enumerate(known)]
+    unseen = [f"QR-{k}3-9{k}" for k in range(21, 24)]
+    docs += [(300 + i, f"then the customer ledger {v} twice") for i, v in enumerate(unseen)]
+    docs += [(400 + i, f"in the year 19{i + 10} we sold 3{i}{i}0 boxes, 1,{i}00 tons and 2{i}5.50 more") for i in range(60)]
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("ident")] for r in pii.PiiFinder().find(spark.createDataFrame(docs, DOCS)).collect()}
+    for i, t in docs[30:45]:
+        v = t.split()[-2]
+        assert got[i] == [f"ident:{t.index(v)}:{t.index(v) + len(v)}"], (i, t)
+    assert not any(got[i] for i in got if i < 100 or i >= 400)
+
+
+def test_pii_of_long_texts_repeated_rows_and_clashing_columns(spark):
+    long = "x" * 200_000 + " 1234 " + "word " * 40_000 + "a@b.cd"
+    rows = [(1, long), (1, long), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"row": F.lit(1), "base": F.lit(2), "contexts": F.lit(3), "pattern": F.lit(4)})
+    got = sorted((str(r["doc_id"]), r["n_email"], r["spans"]) for r in pii.PiiFinder().find(df).collect())
+    span = f"email:{len(long) - 6}:{len(long)}"
+    assert got == [("1", 1, span), ("1", 1, span), ("2", 0, ""), ("None", 0, "")]
+
+
 def test_secret_base_equals_the_stated_patterns(spark):
     rng = random.Random(7)
     bits = ['password="', "API_KEY: ", "apikey=", "Secret' = '", "token:", "abcDEF123/+x.=", "short", "AKIA", "AKIA0123456789ABCD", "deadbeef" * 3, "0123456789abcde", "é", " ", "\n", "=", "ſecret=", "x" * 30]
@@ -119,7 +145,6 @@ def test_encoder_gives_the_library_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     texts = ["", " ", "  ", "a  b", "a   b", "x\n\n  y", "\n x", "a \n b", "it's 's 're", "don't, 12 34.5!", "é è\t z ", "Ünïcödé word.", "<|endoftext|> x", "a  b", "日本語 text 🙂 ok", "THE!! CAT### end:"]
     rng = random.Random(2)
     texts += ["".join(rng.choice(" abZé,.!?'\n\t12$") for _ in range(60)) for _ in range(300)]
@@ -127,6 +152,54 @@ def test_encoder_gives_the_library_ids():
     assert got == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def _fits(bins, lengths, capacity):
+    assert sorted(i for b in bins.items for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) == capacity - left for b, left in zip(bins.items, bins.left)) and min(bins.left) >= 0
+
+
+def test_genetic_search_beats_best_fit(monkeypatch):
+    """On lengths of which best fit leaves space in many bins; no packing is worse than best fit."""
+    from chartloom.llm import packing
+
+    calls = []
+    real = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or real(*a))
+    saved = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        lengths = [rng.randrange(20, 101) for _ in range(400)]
+        down = sorted(range(400), key=lambda i: -lengths[i])
+        plain = packing.best_fit(down, lengths, packing.Bins(150))
+        best = packing.evolve(lengths, 150, [], seed)
+        _fits(best, lengths, 150)
+        assert len(best.left) <= len(plain.left)
+        assert (len(best.left), -best.score()) < (len(plain.left), -plain.score())
+        saved += len(plain.left) - len(best.left)
+    assert len(calls) > 30 and saved > 0
+
+
+def test_islands_exchange_elites(spark, monkeypatch):
+    """Several islands: whole bins move on between epochs, and every piece keeps one place."""
+    from chartloom.llm import packing
+
+    monkeypatch.setattr(packing, "ISLAND", 60)
+    moved = []
+    real = packing.SequencePacker.pack
+    keep = packing.Scratch.keep
+    monkeypatch.setattr(packing.Scratch, "keep", lambda self, df, name: (out := keep(self, df, name), moved.append((name, out.where("bin is not null and not done").count())) if name.startswith("epoch") else None)[0])
+    rng = random.Random(5)
+    docs = [(i, " ".join(["alpha"] * rng.randrange(1, 90))) for i in range(500)]
+    rows = real(SequencePacker(tokenizer_path(), capacity=128, settle=0.9, migrate=4), spark.createDataFrame(docs, DOCS)).collect()
+    assert len(moved) > 1 and sum(n for _, n in moved) > 0
+    assert sorted(r["doc_id"] for r in rows if r["piece"] == 0) == list(range(500))
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in bins.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 128
+
+
 def test_packing_places_every_piece(spark):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([1, 5, 30, 70, 200, 500])))) for i in range(400)] + [(500, None), (501, ""), (500, None)]

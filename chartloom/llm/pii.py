@@ -1,12 +1,14 @@
 """Personal data by fixed formats and by bootstrapped contextual extraction.
 
 Four formats (e-mail, IPv4, card, phone) are found as stated in ``base_spans``.
-Their matches are seed entities.  The two words before a seed form a lexical
-pattern; other identifier-like tokens (four digits or more in a row) after the
-same two words are candidate instances.  Spark scores the graph of patterns and
-instances in rounds: a pattern is as good as the mean of its instances, weighed
-by how often its words stand before anything else in the corpus; an instance
-is as good as its patterns together.  Instances that good patterns agree on are
+Their matches are seed entities.  The words about an entity form two lexical
+patterns: the two words before it, and the word before with the word after.  Tokens with three digits or more
+that stand in the same places are candidate instances.  Spark scores the graph of patterns and
+instances in rounds.  A pattern takes part once ``support`` different instances of it are accepted, seeds
+or discovered ones, so that what one pattern discovers induces others; it
+is as good as the mean of its instances, weighed
+by how often its words stand about anything else in the corpus.  An instance
+is as good as its patterns together, and accepted from ``confidence`` on.  Accepted instances under good patterns are
 added as spans of kind ``ident``.
 """
 
@@ -32,8 +34,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NUMBER = re.compile(r"[0-9]{4,}")
+_NUMBER = re.compile(r"[0-9][^0-9\x20\x09-\x0D]{0,3}[0-9][^0-9\x20\x09-\x0D]{0,3}[0-9]")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
+_SPACES = frozenset(" \t\n\v\f\r")
+_NEXT = re.compile(r"[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)")
 _EDGE = ".,;:!?()[]{}<>\"'"
 
 
@@ -93,12 +97,18 @@ def before(text: str, start: int) -> str | None:
         reach *= 4
 
 
+def after(text: str, end: int) -> str | None:
+    """The word after the token that holds the character before ``end``, or None where there is none."""
+    m = _NEXT.match(text, end)
+    return m[1] if m else None
+
+
 def _fingerprint(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def identifiers(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with four digits in a row, less marks at their edges, that touch no span of ``taken``."""
+    """Tokens with three digits close to each other, less marks at their edges, that touch no span of ``taken``."""
     out, ends = [], 0
     spans = sorted((a, b) for _, a, b in taken)
     k = 0
@@ -106,9 +116,9 @@ def identifiers(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         if m.start() < ends:
             continue
         a, b = m.start(), m.end()
-        while a > ends and not text[a - 1].isspace() and m.start() - a < 64:
+        while a > ends and text[a - 1] not in _SPACES:
             a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.end() < 64:
+        while b < len(text) and text[b] not in _SPACES:
             b += 1
         ends = b
         while a < m.start() and text[a] in _EDGE:
@@ -122,6 +132,12 @@ def identifiers(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
+def about(w: W.Words) -> np.ndarray:
+    """Hashes of each word with the word after the next."""
+    with np.errstate(over="ignore"):
+        return W.mix(w.hashes[:-2] * np.uint64(0x9E3779B97F4A7C15) + w.hashes[2:], 71)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -137,26 +153,28 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((salt, doc, *(sum(k == s[0] for s in base) for k in KINDS), hashlib.sha256(found.encode()).hexdigest(), found))
             for seed, spans in ((True, [s[1:] for s in base]), (False, identifiers(text, base))):
                 for a, b in spans:
-                    words = before(text, a)
+                    words, follows = before(text, a), after(text, b)
                     if words is not None:
-                        texts.append(words)
-                        owner.append(len(rows) - 1)
+                        # Three words each: a pattern is the first two, or the second with the third.
+                        texts.append(f"{words} {follows or '.'}")
+                        owner.append((len(rows) - 1, follows is not None))
                         contexts.append((_fingerprint(text[a:b]), a, b, seed))
-        keys = np.zeros(0, np.int64)
+        first = second = np.zeros(0, np.int64)
         if texts:
             buf, offsets = W.flat(pa.array(texts))
             w = W.Words(buf, offsets, lower=True)
-            keys = w.windows(2)[0][w.first[:-1]].view(np.int64)
+            first, second = w.windows(2)[0][w.first[:-1]].view(np.int64), about(w)[w.first[:-1]].view(np.int64)
         per: list[list] = [[] for _ in rows]
-        for o, k, (i, a, b, s) in zip(owner, keys.tolist(), contexts):
-            per[o].append({"pattern": k, "instance": i, "place": a, "till": b, "seed": s})
+        for (o, full), k, l, (i, a, b, s) in zip(owner, first.tolist(), second.tolist(), contexts):
+            for key in (k, l) if full else (k,):
+                per[o].append({"pattern": key, "instance": i, "place": a, "till": b, "seed": s})
         kinds = [pa.int64()] * 6 + [pa.string(), pa.string()]
         columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, kinds)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(per, pa.list_(context))], names=names)
 
 
 def _background(bits: np.ndarray):
-    """Occurrences in all texts of the word pairs that may be in the filter ``bits``."""
+    """Occurrences in all texts of the patterns that may be in the filter ``bits``."""
     n = np.uint64(len(bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +182,8 @@ def _background(bits: np.ndarray):
             found = []
             for _, _, w in W.rows(batch, "text", lower=True):
                 pairs, inside = w.windows(2)
-                pairs = pairs[inside]
+                _, wide = w.windows(3)
+                pairs = np.concatenate([pairs[inside], about(w)[wide]]) if len(wide) else pairs[inside]
                 word = bits[(pairs & n).astype(np.int64)]
                 mask = (np.uint64(1) << ((pairs >> np.uint64(32)) & np.uint64(63))) | (np.uint64(1) << ((pairs >> np.uint64(44)) & np.uint64(63)))
                 found.append(pairs[(word & mask) == mask])
@@ -179,10 +198,10 @@ class PiiFinder:
 
     Ids may be null or repeat: each row is a text.  Other columns are ignored;
     an empty table gives an empty result.  A pattern needs ``support`` different
-    seeds; ``confidence`` is the score from which patterns and instances count.
+    accepted instances; ``confidence`` is the score from which patterns and instances count.
     """
 
-    def __init__(self, id_col: str = "doc_id", text_col: str = "text", support: int = 3, confidence: float = 0.6, rounds: int = 3):
+    def __init__(self, id_col: str = "doc_id", text_col: str = "text", support: int = 3, confidence: float = 0.6, rounds: int = 4):
         self.id_col, self.text_col, self.support, self.confidence, self.rounds = id_col, text_col, support, confidence, rounds
 
     def find(self, docs: DataFrame) -> DataFrame:
@@ -199,26 +218,26 @@ class PiiFinder:
 
     def added(self, src: DataFrame, contexts: DataFrame, scratch: Scratch) -> DataFrame:
         """(row, place, till) of the instances that good patterns discover."""
-        spark = src.sparkSession
-        pairs = contexts.select("pattern", "instance", "seed").distinct()
-        seeded = pairs.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= self.support)
-        edges = scratch.keep(pairs.join(seeded.select("pattern"), "pattern"), "edges")
-        # At most 2**18 words: word pairs past the filter's capacity are counted in vain, never missed.
+        pairs = contexts.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("k"))
+        many = pairs.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("k").alias("held")).where(F.col("instances") >= self.support)
+        many = scratch.keep(many, "many")
+        edges = scratch.keep(pairs.join(many.select("pattern"), "pattern").select("pattern", "instance", "seed"), "edges")
+        # At most 2**18 words: patterns past the filter's capacity are counted in vain, never missed.
         words = 1 << 18
-        table = bloom.of(seeded, "pattern", words).collect()
+        table = bloom.of(many, "pattern", words).collect()
         if not table:
             return contexts.where("false").select("row", "place", "till")
         bits = np.zeros(words, np.uint64)
         bits[[r["word"] for r in table]] = np.array([r["bits"] for r in table], np.int64).view(np.uint64)
         near = src.select("text").mapInArrow(_background(bits), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-        held = contexts.groupBy("pattern").agg(F.count("*").alias("held"), F.count_if("seed").alias("seed_hits"))
-        weight = seeded.join(held, "pattern").join(near, "pattern", "left")
+        weight = many.join(near, "pattern", "left")
         weight = scratch.keep(weight.select("pattern", (F.col("held") / F.greatest("held", F.coalesce("n", "held"))).alias("exact")), "weight")
         score = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("s"))
         for i in range(self.rounds):
-            good = edges.join(score, "instance").groupBy("pattern").agg(F.avg("s").alias("mean")).join(weight, "pattern").select("pattern", (F.col("mean") * F.col("exact")).alias("p"))
-            good = scratch.keep(good, f"patterns{i}")
+            accepted = F.count_if(F.col("s") >= self.confidence)
+            good = edges.join(score, "instance").groupBy("pattern").agg(F.avg("s").alias("mean"), accepted.alias("accepted")).where(F.col("accepted") >= self.support)
+            good = scratch.keep(good.join(weight, "pattern").select("pattern", (F.col("mean") * F.col("exact")).alias("p")), f"patterns{i}")
             each = edges.join(good, "pattern").groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.sum(F.log(F.lit(1.0) - 0.99 * F.col("p"))).alias("miss"))
             score = scratch.keep(each.select("instance", F.greatest("seed", 1 - F.exp("miss")).alias("s")), f"instances{i}")
         fine = contexts.where("not seed").join(good.where(F.col("p") >= self.confidence).select("pattern"), "pattern")
-        return fine.join(score.where(F.col("s") >= self.confidence).select("instance"), "instance").select("row", "place", "till")
+        return fine.join(score.where(F.col("s") >= self.confidence).select("instance"), "instance").select("row", "place", "till").distinct()

@@ -30,6 +30,7 @@ FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 ROLL_BYTES = 32 << 20
 """A new archive is begun past this many bytes."""
 READ_BYTES = 1 << 20
+STEP_BYTES = 4096
 
 
 class WarcError(ValueError):
@@ -78,36 +79,43 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def frames(source) -> Iterator[bytes]:
     """The content of each frame of a file-like object, one at a time."""
-    data, dictionary, first = source.read(READ_BYTES), None, True
-    while data:
-        while len(data) < 8 and (more := source.read(READ_BYTES)):
-            data += more
-        if len(data) >= 8 and 0x184D2A50 <= struct.unpack_from("<I", data)[0] <= 0x184D2A5F:
-            magic, size = struct.unpack_from("<II", data)
-            while len(data) < 8 + size and (more := source.read(READ_BYTES)):
-                data += more
-            if len(data) < 8 + size:
+    data, at, dictionary, first = b"", 0, None, True
+
+    def need(n: int) -> bool:
+        """Reads on until n bytes are there from ``at`` on, if the source has them."""
+        nonlocal data, at
+        while len(data) - at < n:
+            more = source.read(READ_BYTES)
+            if not more:
+                return False
+            data, at = data[at:] + more, 0
+        return True
+
+    while need(1):
+        if need(8) and 0x184D2A50 <= struct.unpack_from("<I", data, at)[0] <= 0x184D2A5F:
+            magic, size = struct.unpack_from("<II", data, at)
+            if not need(8 + size):
                 raise WarcError("the archive ends in a skippable frame")
             if magic == DICTIONARY_MAGIC and first:
-                content = bytes(data[8 : 8 + size])
+                content = bytes(data[at + 8 : at + 8 + size])
                 if content[:4] == FRAME_MAGIC:
                     content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
                 dictionary = zstandard.ZstdCompressionDict(content)
-            data, first = data[8 + size :] or source.read(READ_BYTES), False
+            at, first = at + 8 + size, False
             continue
         first = False
         one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj() if dictionary else zstandard.ZstdDecompressor().decompressobj()
         parts = []
         try:
-            parts.append(one.decompress(data))
             while not one.eof:
-                more = source.read(READ_BYTES)
-                if not more:
+                if not need(1):
                     raise WarcError("the archive ends in a frame")
-                parts.append(one.decompress(more))
+                # By small steps: what a step holds of the next frame is copied.
+                step = data[at : at + STEP_BYTES]
+                parts.append(one.decompress(step))
+                at += len(step) - len(one.unused_data)
         except zstandard.ZstdError as e:
             raise WarcError(f"not a Zstandard frame: {e}") from e
-        data = one.unused_data or source.read(READ_BYTES)
         yield b"".join(parts)
 
 
@@ -201,19 +209,22 @@ class WarcArchive:
     of ``least`` bytes or more, the one with the largest id is the response, and
     the others revisit it; of rows that repeat that id too, each is a response.
     Other columns are ignored; an empty table writes no archive.  The dictionary is trained on
-    at most ``sample`` pages, 8192 characters of each.
+    at most ``sample`` pages, ``sample_chars`` characters of each; records are whole.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, least: int = 1000, level: int = 3, sample: int = 300, date: str = "1970-01-01T00:00:00Z"):
+    def __init__(self, spark: SparkSession, folder: str | None = None, least: int = 1000, level: int = 3, sample: int = 300, sample_chars: int = 8192, date: str = "1970-01-01T00:00:00Z"):
         self.scratch = Scratch(spark)
         self.folder = (folder or self.scratch.path("warc")).rstrip("/")
         if self.folder.startswith("/"):
             self.folder = "file://" + self.folder
-        self.least, self.level, self.sample, self.date = least, level, sample, date
-
-    def dictionary(self, pages: DataFrame) -> bytes:
-        some = pages.select(F.substring("html", 1, 8192).alias("html"), F.xxhash64("page_id", "url").alias("h")).where("length(html) > 0")
-        texts = [r.html.encode() for r in some.orderBy("h").limit(self.sample).select("html").collect()]
+        self.least, self.level, self.sample, self.sample_chars, self.date = least, level, sample, sample_chars, date
+
+    def dictionary(self, pages: DataFrame, count: int) -> bytes:
+        """Trained on the pages with the least hashes; a bound on the hash leaves few of them before any text is gathered."""
+        share = min(1.0, 4.0 * self.sample / max(1, count))
+        some = pages.withColumn("h", F.shiftrightunsigned(F.xxhash64("page_id", "url"), 1)).where((F.col("h") <= min(2**63 - 1, int(share * 2**63))) & (F.length("html") > 0))
+        some = some.select("h", F.substring("html", 1, self.sample_chars).alias("html"))
+        texts = [r.html.encode() for r in some.orderBy("h", "html").limit(self.sample).select("html").collect()]
         try:
             return zstandard.train_dictionary(32_768, texts).as_bytes() if len(texts) >= 20 else b""
         except zstandard.ZstdError:
@@ -223,7 +234,8 @@ class WarcArchive:
         """(archive, records) of the archives written."""
         rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"))
         rows = rows.withColumn("large", F.octet_length(F.coalesce("html", F.lit(""))) >= self.least).withColumn("key", F.xxhash64("digest"))
-        words = bloom.words_for(pages.count())
+        count = pages.count()
+        words = bloom.words_for(count)
         seen = bloom.flagged(rows, "key", bloom.of(rows.where("large").select("key"), "key", words, least=2), words, "maybe")
         shape = ["page_id", "url", "html", "digest"]
         alone = seen.where("not (maybe and large)").select(*shape, F.lit("response").alias("kind"), F.lit(None).cast("long").alias("ref"))
@@ -232,7 +244,7 @@ class WarcArchive:
         same = some.join(best, "digest")
         first = F.col("page_id").eqNullSafe(F.col("best"))
         same = same.select(*shape, F.when(first, "response").otherwise("revisit").alias("kind"), F.when(~first, F.col("best")).alias("ref"))
-        run = _writer(self.folder, self.dictionary(pages), self.level, self.date)
+        run = _writer(self.folder, self.dictionary(pages, count), self.level, self.date)
         return self.scratch.keep(alone.union(same).mapInArrow(run, "archive string, records long"), "manifest")
 
     def read(self, manifest: DataFrame, with_payload: bool = True) -> DataFrame:

@@ -56,7 +56,7 @@ class BenchmarkDecontamination:
     A null or blank text holds nothing and is held by nothing; so is an item of
     fewer than ``window`` words.  A template window counts with ``literals`` words that are no
     placeholders at least; windows of the words as they are all count.  Ids may repeat: rows with one id are judged apart and reported
-    as one.  A null id of a document is kept as such by ``clean``.  Other columns are kept by
+    as one.  ``clean`` judges each row by its own text, whatever its id.  Other columns are kept by
     ``clean``, whatever their names.  Empty tables give an empty result.
     """
 
@@ -69,12 +69,8 @@ class BenchmarkDecontamination:
         starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(F.lit(kind), F.slice(words, i + 1, self.window)))
 
-    def matches(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-        """(doc_id, item_id, covered, item_words, slots, changed), a row for each contaminated pair.
-
-        ``covered`` of the item's words were found at the best place; ``changed``
-        of its ``slots`` placeholders there have another value in the document.
-        """
+    def _found(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+        """(row, doc_id, item, item_id, size, covered, slots, changed, quoted): contaminated pairs of rows and items."""
         spark = docs.sparkSession
         scratch = Scratch(spark)
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain(F.col("text")).alias("raw"))
@@ -87,8 +83,8 @@ class BenchmarkDecontamination:
         spots = scratch.keep(spots.unionByName(items.select("item", F.posexplode(self._windows(low, 1, 1)).alias("at", "hash"), F.lit(1).alias("kind"))), "spots")
         near = spots.count() <= self.most
 
-        src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-        src = src.withColumn("row", F.xxhash64("doc_id", "text"))
+        src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("text is not null")
+        src = src.withColumn("row", _row("doc_id", "text"))
         tpl = src.select("row", plain(F.col("text")).alias("raw"))
         tpl = tpl.select("row", F.split(template(F.col("raw")), " ").alias("tpl"), F.split(F.lower("raw"), " ").alias("raw"))
         tpl = tpl.select("row", self._windows(F.col("tpl"), self.stride, 0).alias("w0"), self._windows(F.col("raw"), self.stride, 1).alias("w1"))
@@ -142,11 +138,27 @@ class BenchmarkDecontamination:
         )
         whole = place.groupBy("row", "doc_id", "item", "item_id", "size").agg(F.count("*").alias("covered"), F.sum("slot").alias("slots"), F.sum("changed").alias("changed"), F.max("quoted").alias("quoted"))
         good = whole.where((100 * F.col("covered") >= self.percent * F.col("size")) | F.col("quoted"))
+        return good
+
+    def matches(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+        """(doc_id, item_id, covered, item_words, slots, changed), a row for each contaminated pair.
+
+        ``covered`` of the item's words were found at the best place; ``changed``
+        of its ``slots`` placeholders there have another value in the document.
+        """
+        good = self._found(docs, benchmark)
         best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", (-F.col("changed")).alias("same"), F.col("size").alias("item_words"), "slots")).alias("m"))
         return best.select("doc_id", "item_id", F.col("m.covered").cast("long").alias("covered"), F.col("m.item_words").cast("long").alias("item_words"), F.col("m.slots").cast("long").alias("slots"), (-F.col("m.same")).cast("long").alias("changed"))
 
     def clean(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """``docs`` without the documents that hold an item; all columns stay."""
         scratch = Scratch(docs.sparkSession)
-        gone = scratch.keep(self.matches(docs, benchmark).select("doc_id").distinct(), "gone")
-        return bloom.without(docs, "doc_id", gone)
+        gone = scratch.keep(self._found(docs, benchmark).select("row").distinct(), "gone")
+        n = next(n for n in range(1, 99) if not any(c.lower().startswith("_" * n + "row") for c in docs.columns))
+        row = "_" * n + "row"
+        return bloom.without(docs.withColumn(row, _row("doc_id", "text")), row, gone).drop(row)
+
+
+def _row(doc_id: str, text: str) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.lit(0), F.col(text))

@@ -6,6 +6,7 @@ value is not finite; aggregates elsewhere drop such values first.
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
 import math
 
 from pyspark.sql import Column
@@ -67,43 +68,59 @@ def half_up(v: Column, places: int) -> Column:
     return F.floor(v * scale + 0.5) / scale
 
 
-def _spread(x: Column, steps: list[tuple[int, int]]) -> Column:
-    for shift, mask in steps:
-        x = (x.bitwiseOR(F.shiftleft(x, shift))).bitwiseAND(F.lit(mask))
-    return x
+def _spread_byte(value: int, dims: int) -> int:
+    """The bits of a byte, ``dims`` places apart."""
+    return sum((value >> i & 1) << (i * dims) for i in range(8))
 
 
-def _compact(x: Column, steps: list[tuple[int, int]], last: int) -> Column:
-    for shift, mask in reversed(steps):
-        x = x.bitwiseAND(F.lit(mask))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    return x.bitwiseAND(F.lit(last))
+@lru_cache(maxsize=None)
+def _table(dims: int, back: bool) -> str:
+    """SQL of the array of spread bytes, or of the byte nibbles that spread bits came from."""
+    if not back:
+        return "array(" + ",".join(f"{_spread_byte(v, dims)}L" for v in range(256)) + ")"
+    # Of so many spread bits as hold whole source bits: 8 for two axes, 9 for three.
+    width = 8 if dims == 2 else 9
+    return "array(" + ",".join(f"{sum((v >> (i * dims) & 1) << i for i in range(width // dims))}L" for v in range(1 << width)) + ")"
+
+
+def _spread(x: Column, dims: int, bits: int) -> Column:
+    """The bits of a whole number, ``dims`` places apart, by bytes: the number is used once for each."""
+    parts = []
+    for k in range(0, bits, 8):
+        byte = F.get(F.expr(_table(dims, False)), F.shiftrightunsigned(x, k).bitwiseAND(F.lit(255)).cast("int"))
+        parts.append(F.shiftleft(byte, k * dims) if k else byte)
+    return reduce(Column.bitwiseOR, parts)
+
+
+def _compact(x: Column, dims: int, bits: int) -> Column:
+    width, parts = (8 if dims == 2 else 9), []
+    for k in range(0, bits, width // dims):
+        some = F.get(F.expr(_table(dims, True)), F.shiftrightunsigned(x, k * dims).bitwiseAND(F.lit((1 << width) - 1)).cast("int"))
+        parts.append(F.shiftleft(some, k) if k else some)
+    return reduce(Column.bitwiseOR, parts)
 
 
-# The usual masks that put one, or two, zero bits between the bits of a number.
-SPREAD_2 = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
-SPREAD_3 = [(32, 0x001F00000000FFFF), (16, 0x001F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
 AXIS_BITS = 21
 AXIS_MAX = (1 << AXIS_BITS) - 1
 
 
 def morton2(x: Column, y: Column) -> Column:
     """Interleaves two whole numbers of up to 32 bits; x takes the even bits."""
-    return _spread(x.cast("long"), SPREAD_2).bitwiseOR(F.shiftleft(_spread(y.cast("long"), SPREAD_2), 1))
+    return _spread(x.cast("long"), 2, 32).bitwiseOR(F.shiftleft(_spread(y.cast("long"), 2, 32), 1))
 
 
 def morton3(x: Column, y: Column, z: Column) -> Column:
     """Interleaves the low 21 bits of three whole numbers."""
-    a, b, c = (_spread(v.cast("long").bitwiseAND(F.lit(AXIS_MAX)), SPREAD_3) for v in (x, y, z))
+    a, b, c = (_spread(v.cast("long").bitwiseAND(F.lit(AXIS_MAX)), 3, AXIS_BITS) for v in (x, y, z))
     return a.bitwiseOR(F.shiftleft(b, 1)).bitwiseOR(F.shiftleft(c, 2))
 
 
 def unmorton2(code: Column) -> tuple[Column, Column]:
-    return tuple(_compact(F.shiftrightunsigned(code, k), SPREAD_2, 0xFFFFFFFF) for k in (0, 1))
+    return tuple(_compact(F.shiftrightunsigned(code, k), 2, 32) for k in (0, 1))
 
 
 def unmorton3(code: Column) -> tuple[Column, Column, Column]:
-    return tuple(_compact(F.shiftrightunsigned(code, k), SPREAD_3, AXIS_MAX) for k in (0, 1, 2))
+    return tuple(_compact(F.shiftrightunsigned(code, k), 3, AXIS_BITS) for k in (0, 1, 2))
 
 
 def axis_code(v: Column, lo: Column, hi: Column) -> Column:

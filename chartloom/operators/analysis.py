@@ -32,8 +32,8 @@ def summarize(df: DataFrame, x: str, y: str, order: Sequence[str], by: Sequence[
     )
     spike = attach(good, one.select(*by, "mean", "stddev"), by).groupBy(*by).agg(F.count_if(F.abs(F.col("__y") - F.col("mean")) > 2 * F.col("stddev")).alias("spikes"))
     odd = series.anomalies(good, "__y", order, by).groupBy(*by).agg(F.count("*").alias("anomalies"))
-    out = one.join(spike, list(by)) if by else one.join(F.broadcast(spike))
-    out = out.join(odd, list(by), "left") if by else out.join(F.broadcast(odd))
+    out = attach(one, spike, by)
+    out = attach(out, odd, by, "left")
     out = out.withColumn("anomalies", F.coalesce("anomalies", F.lit(0).cast("long"))).where("n > 0")
     cv = F.when(F.col("mean") == 0, 0.0).otherwise(F.try_divide(F.col("stddev"), F.abs("mean")))
     steep = F.when(F.col("stddev") == 0, 0.0).otherwise(F.try_divide(F.col("slope") * F.col("span"), F.col("stddev")))
@@ -148,6 +148,50 @@ def shape_vector(df: DataFrame, value: str, order: Sequence[str], by: Sequence[s
     return rows.groupBy(*by).agg(F.array(*(p.cast("double") for p in (parts + pad)[:dimensions])).alias("shape"))
 
 
+def feature_vector(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), dimensions: int = 16) -> DataFrame:
+    """(by..., features): the form of each series with the shares of its steps.
+
+    A quarter of the dimensions are shares of bins of the value over its range, three eighths shares of bins of the
+    step to the next value over the steps' range; then the trend and the volatility (both through tanh), the share
+    beyond two deviations, the smoothness by second differences, and absolute autocorrelations at lags of
+    equal parts of a quarter of the length.  A task holds the rows of a series in order.
+    """
+    bins, steps = dimensions // 4, dimensions * 3 // 8
+    lags = max(0, dimensions - bins - steps - 4)
+    w, tiny = Window.partitionBy(*by).orderBy(*order), 2.220446049250313e-16
+    good = df.where(finite(value)).select(*by, *order, col(value).cast("double").alias("__v"))
+    one = good.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), (F.max("__v") - F.min("__v")).alias("__r"), F.avg("__v").alias("__m"), F.coalesce(F.stddev_samp("__v"), F.lit(0.0)).alias("__s"))
+    rows = attach(good, one, by).withColumns({"__i": F.row_number().over(w) - 1, "__u": F.when(F.col("__r") > tiny, (F.col("__v") - F.col("__lo")) / F.col("__r")).otherwise(0.5)})
+    rows = rows.withColumns({"__d": F.when(F.col("__n") == 1, 0.0).otherwise(F.col("__u") - F.lag("__u").over(w)), "__c": F.abs(F.lead("__u").over(w) - 2 * F.col("__u") + F.lag("__u").over(w))})
+    box = rows.groupBy(*by).agg(F.min("__d").alias("__dlo"), (F.max("__d") - F.min("__d")).alias("__dr"))
+    held = attach(rows, box, by).withColumn("__du", F.when(F.col("__dr") > tiny, (F.col("__d") - F.col("__dlo")) / F.col("__dr")).when(F.col("__d").isNotNull(), 0.5))
+    n, first = F.count("*"), lambda c: F.any_value(c)
+    share = [F.count_if(F.least(F.floor(F.col("__u") * bins), F.lit(bins - 1)) == b) / n for b in range(bins)]
+    share += [F.count_if(F.col("__du").isNotNull() & (F.least(F.floor(F.col("__du") * steps), F.lit(steps - 1)) == b)) / F.count("__du") for b in range(steps)]
+    s, m = first("__s"), first("__m")
+    trend = F.when((n > 1) & (s > tiny), F.tanh(F.try_divide(F.regr_slope("__v", "__i"), s))).otherwise(0.0)
+    volatile = F.when(F.abs(m) > tiny, F.tanh(F.try_divide(s, F.abs(m)))).when(s > tiny, 1.0).otherwise(0.0)
+    spikes = F.when(s > tiny, F.count_if(F.abs(F.col("__v") - F.col("__m")) > 2 * F.col("__s")) / n).otherwise(0.0)
+    smooth = F.when(n > 2, 1 / (1 + F.avg("__c") * 100)).otherwise(0.5)
+    parts = [*share, (trend + 1) / 2, volatile, spikes, smooth]
+    out = held.groupBy(*by).agg(F.array(*(p.cast("double") for p in parts)).alias("__head"))
+    if lags:
+        # Each lag is one step of an equi-join of the series with itself.
+        dev = rows.select(*by, "__i", "__n", (F.col("__v") - F.col("__m")).alias("__e"))
+        far = dev.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(lags))))
+        far = far.withColumn("__j", F.col("__i") + F.greatest(F.least(F.ceil(F.col("__k") / lags * F.floor(F.col("__n") / 4)), F.col("__n") - 1), F.lit(1)))
+        pairs = attach(far, dev.select(*by, F.col("__i").cast("long").alias("__j"), F.col("__e").alias("__f")), [*by, "__j"], "left")
+        total = dev.groupBy(*by).agg(F.sum(F.col("__e") * F.col("__e")).alias("__t"))
+        each = pairs.groupBy(*by, "__k").agg(F.coalesce(F.sum(F.col("__e") * F.col("__f")), F.lit(0.0)).alias("__x"))
+        each = attach(each, total, by).withColumn("__x", F.when(F.col("__t") > tiny, F.abs(F.try_divide("__x", "__t"))).otherwise(0.0))
+        tail = each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__x"))), lambda e: e["__x"]).alias("__tail"))
+        out = attach(out, tail, by, "left")
+    else:
+        out = out.withColumn("__tail", F.array().cast("array<double>"))
+    both = F.concat("__head", F.coalesce("__tail", F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), max(0, dimensions)))
+    return out.select(*by, F.slice(both, 1, dimensions).alias("features")) if dimensions > 0 else out.select(*by, F.array().cast("array<double>").alias("features"))
+
+
 def shape_similarity(shapes: DataFrame, key: str) -> DataFrame:
     """(a, b, similarity) of each two keys, a before b, to four places."""
     left = shapes.select(F.col(key).alias("a"), F.col("shape").alias("__p"))

@@ -51,7 +51,7 @@ def histogram(df: DataFrame, value: str, bins: int = 50, bounds=None, by: Sequen
     counts = attach(src.where(finite("v")), box, by).groupBy(*by, _bin(F.col("v"), F.col("v_lo"), F.col("v_hi"), bins).alias("bin")).agg(F.count("*").alias("count"))
     width = (F.col("v_hi") - F.col("v_lo")) / bins
     grid = box.select(*by, "v_lo", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = grid.join(counts, [*by, "bin"], "left")
+    out = attach(grid, counts, [*by, "bin"], "left")
     return out.select(*by, "bin", (F.col("v_lo") + F.col("bin") * F.col("w")).alias("lo"), (F.col("v_lo") + (F.col("bin") + 1) * F.col("w")).alias("hi"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
@@ -68,7 +68,7 @@ def bin2d(df: DataFrame, x: str, y: str, x_bins: int = 256, y_bins: int = 256, x
         return cells
     grid = box.select(*by, F.explode(F.sequence(F.lit(0), F.lit(x_bins * y_bins - 1))).alias("c"))
     grid = grid.select(*by, F.floor(F.col("c") / x_bins).cast("int").alias("yi"), (F.col("c") % x_bins).alias("xi"))
-    return grid.join(cells, [*by, "yi", "xi"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
+    return attach(grid, cells, [*by, "yi", "xi"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
 
 
 def bin2d_edges(df: DataFrame, x: str, y: str, x_bins: int = 256, y_bins: int = 256, x_bounds=None, y_bounds=None, by: Sequence[str] = ()) -> DataFrame:

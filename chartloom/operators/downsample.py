@@ -24,7 +24,7 @@ def _points(df: DataFrame, x: str, y: str, tie: str, by: Sequence[str]) -> DataF
     if by:
         src = src.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("x", "tie")) - 1)
     else:
-        src = global_position(src, ["x", "tie"], "i").withColumn("i", F.col("i").cast("long"))
+        src = global_position(src, ["x", "tie"], "i")
     count = src.groupBy(*by).agg(F.count("*").alias("n"))
     return attach(src, count, by)
 
@@ -149,7 +149,7 @@ def _lttb(p: DataFrame, target: int, by: Sequence[str], reduce: bool) -> DataFra
     inner = hulls(inner, by) if reduce else inner
     groups = inner.groupBy(*by, "b").agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), "x", "y", "tie"))).alias("pts"))
     start = first.select(*by, F.col("x").alias("x0"), F.col("y").alias("y0"))
-    rows = attach(groups.join(means, [*by, "b"]), start, by)
+    rows = attach(attach(groups, means, [*by, "b"]), start, by)
     tie = dict(p.dtypes)["tie"]
     picked = rows.groupBy(*by).agg(F.expr(_FOLD.format(tie=tie)).alias("out"))
     picked = picked.select(*by, F.explode("out").alias("e")).select(*by, "e.*")

@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalar import col, finite, half_up
 from .stats import attach
+from .transform import global_running
 
 
 def _over(by: Sequence[str], order: Sequence[str]):
@@ -131,22 +132,26 @@ def anomalies(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str]
     med = good.groupBy(*by).agg(F.median("__v").alias("__med"), F.count("*").alias("__n"))
     dev = attach(good, med, by).withColumn("__a", F.abs(F.col("__v") - F.col("__med")))
     spread = dev.groupBy(*by).agg(F.median("__a").alias("__mad"), F.avg("__a").alias("__aad"))
-    if mode == "strict_mad":
-        z = F.when(F.col("__mad") > 2.220446049250313e-16, 0.6745 * F.col("__a") / F.col("__mad"))
-        rows = attach(dev, spread, by).withColumns({"position": F.row_number().over(w) - 1, "z_score": z})
-        return rows.where(F.col("z_score") > sensitivity).select(*df.columns, "position", "z_score")
     unit = F.when(F.col("__mad") == 0, F.col("__aad")).otherwise(F.col("__mad"))
     z = F.when(unit != 0, 0.6745 * (F.col("__v") - F.col("__med")) / unit)
-    rows = attach(dev, spread, by).withColumns({"position": F.row_number().over(w) - 1, "__z": z})
-    rows = rows.withColumn("__w", F.greatest(F.lit(5), F.floor(F.col("__n") / 20)))
+    if mode == "strict_mad":
+        z = F.when(F.col("__mad") > 2.220446049250313e-16, 0.6745 * F.col("__a") / F.col("__mad"))
+    rows = attach(dev, spread, by).withColumn("__z", z)
     # The window's width grows with the series: prefix counts give it without a frame of that size.
-    rows = rows.withColumn("__c", F.sum(F.when(F.abs("__z") > sensitivity / 2, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    half = F.when(F.abs("__z") > sensitivity / 2, 1).otherwise(0)
+    if by:
+        rows = rows.withColumns({"position": F.row_number().over(w) - 1, "__c": F.sum(half).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    else:
+        rows = global_running(rows, order, {"__c": half})
+    rows = rows.withColumn("position", F.col("position").cast("int"))
+    if mode == "strict_mad":
+        return rows.where(F.col("__z") > sensitivity).select(*df.columns, "position", F.col("__z").alias("z_score"))
+    rows = rows.withColumn("__w", F.greatest(F.lit(5), F.floor(F.col("__n") / 20)))
     hits = rows.where((F.abs("__z") > sensitivity) & (F.col("__n") >= 5))
-    ends = rows.select(*by, F.col("position").alias("__p"), F.col("__c").alias("__e"))
+    ends = rows.select(*by, F.col("position").cast("long").alias("__p"), F.col("__c").alias("__e"))
     keyed = hits.withColumns({"__hi": F.least(F.col("__n"), F.col("position") + F.col("__w")) - 1, "__lo": F.col("position") - F.col("__w") - 1})
-    on = list(by)
-    top = keyed.join(ends.withColumnsRenamed({"__p": "__hi", "__e": "__top"}), [*on, "__hi"], "left")
-    low = top.join(ends.withColumnsRenamed({"__p": "__lo", "__e": "__bottom"}), [*on, "__lo"], "left")
+    top = attach(keyed, ends.withColumnsRenamed({"__p": "__hi", "__e": "__top"}), [*by, "__hi"], "left")
+    low = attach(top, ends.withColumnsRenamed({"__p": "__lo", "__e": "__bottom"}), [*by, "__lo"], "left")
     near = F.col("__top") - F.coalesce("__bottom", F.lit(0))
     kind = F.when((F.col("position") >= F.col("__w")) & (near > F.col("__w")), "shift").when(F.col("__z") > 0, "spike").otherwise("dip")
     return low.withColumns({"z_score": half_up(F.col("__z"), 3), "type": kind}).select(*df.columns, "position", "z_score", "type")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, finite
+from .stats import attach
 
 
 def distinct_count(df: DataFrame, value: str, precision: int = 14, by: Sequence[str] = ()) -> DataFrame:
@@ -88,13 +89,83 @@ def kll_ranks(df: DataFrame, value: str, at: Sequence[float], k: int = 200, by:
 
 
 def approx_percentiles(df: DataFrame, value: str, at: Sequence[float], accuracy: int = 10_000, by: Sequence[str] = ()) -> DataFrame:
-    """(q, value) by Greenwald-Khanna summaries, the bounded-memory stand-in for t-digest centroids."""
+    """(q, value) by Greenwald-Khanna summaries."""
     v = F.when(finite(value), col(value))
     one = df.groupBy(*by).agg(F.percentile_approx(v, [float(q) for q in at], accuracy).alias("__v"))
     pairs = F.array(*(F.struct(F.lit(float(q)).alias("q"), F.col("__v")[i].alias("value")) for i, q in enumerate(at)))
     return one.select(*by, F.explode(pairs).alias("e")).select(*by, "e.*")
 
 
+def _merge_centroids(mean, weight, compression: float):
+    """Neighbouring centroids joined while their share of the scale k(q) = d asin(2 q - 1) / (2 pi) is below one step."""
+    import numpy as np
+
+    order = np.argsort(mean, kind="stable")
+    mean, weight = mean[order], weight[order]
+    total = weight.sum()
+    right = np.cumsum(weight) / total
+    scale = lambda q: compression * np.arcsin(np.clip(2 * q - 1, -1, 1)) / (2 * np.pi)
+    at = scale(right)
+    start, left = [0], scale(0.0)
+    for i in np.searchsorted(at, np.arange(np.floor(left), np.ceil(at[-1]) + 1), "right").tolist():
+        # A group begins at the first centroid that would take it past a step.
+        if start[-1] < i < len(mean):
+            start.append(i)
+    sums = np.add.reduceat(weight, start)
+    return np.add.reduceat(mean * weight, start) / sums, sums
+
+
+def _digests(compression: float, raw: bool, keys: int):
+    def run(t):
+        import numpy as np
+        import pyarrow as pa
+
+        values = t.column(keys).to_numpy(zero_copy_only=False).astype(float)
+        weights = np.ones(len(values)) if raw else t.column(keys + 1).to_numpy(zero_copy_only=False).astype(float)
+        low, high = (values.min(), values.max()) if raw else (t.column(keys + 2).to_numpy().min(), t.column(keys + 3).to_numpy().max())
+        mean, weight = _merge_centroids(values, weights, compression)
+        same = [pa.array([t.column(i)[0].as_py()] * len(mean), t.schema.field(i).type) for i in range(keys)]
+        return pa.Table.from_arrays([*same, pa.array(mean), pa.array(weight), pa.array([low] * len(mean)), pa.array([high] * len(mean))], names=[*t.column_names[:keys], "mean", "weight", "low", "high"])
+
+    return run
+
+
+def tdigest(df: DataFrame, value: str, compression: float = 100.0, by: Sequence[str] = (), parts: int = 64) -> DataFrame:
+    """(by..., mean, weight, low, high): the centroids of a t-digest of each group, with its least and greatest value.
+
+    Rows are dealt by hash into ``parts`` digests of a group, which are then merged: no task holds a group.
+    A compression of 0 or less counts as 100.
+    """
+    c = compression if compression > 0 else 100.0
+    src = df.where(finite(value)).select(*by, col(value).cast("double").alias("__v"))
+    kinds = "".join(f"`{k}` {t}, " for k, t in src.dtypes if k in by)
+    dealt = src.select(*by, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("__p"), "__v")
+    some = dealt.groupBy(*by, "__p").applyInArrow(_digests(c, True, len(by) + 1), f"{kinds}__p long, mean double, weight double, low double, high double")
+    return tdigest_merge(some.drop("__p"), c, by)
+
+
+def tdigest_merge(digests: DataFrame, compression: float = 100.0, by: Sequence[str] = ()) -> DataFrame:
+    """One digest of each group from the centroids of several."""
+    rows = digests.select(*by, "mean", "weight", "low", "high")
+    kinds = "".join(f"`{k}` {t}, " for k, t in rows.dtypes if k in by)
+    return rows.groupBy(*by).applyInArrow(_digests(compression, False, len(by)), f"{kinds}mean double, weight double, low double, high double")
+
+
+def tdigest_quantiles(digest: DataFrame, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., q, value): between the middles of neighbouring centroids, and between the ends and the outer middles; exact at 0 and 1."""
+    whole = Window.partitionBy(*by)
+    run = digest.withColumn("__c", F.sum("weight").over(whole.orderBy("mean").rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight") / 2)
+    run = run.withColumns({"__n": F.sum("weight").over(whole), "__pc": F.lag("__c").over(whole.orderBy("mean")), "__pm": F.lag("mean").over(whole.orderBy("mean"))})
+    run = run.select("*", F.explode(F.array(*(F.lit(float(q)) for q in at))).alias("q")).withColumn("__t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("q"))) * F.col("__n"))
+    before, mean = F.coalesce("__pc", F.lit(0.0)), F.coalesce("__pm", "low")
+    inside = mean + (F.col("mean") - mean) * F.coalesce(F.try_divide(F.col("__t") - before, F.col("__c") - before), F.lit(0.0))
+    hit = run.where(F.col("__c") >= F.col("__t")).groupBy(*by, "q").agg(F.min_by(inside, "__c").alias("__v"))
+    top = run.groupBy(*by, "q").agg(F.max_by("mean", "__c").alias("__m"), F.max("__c").alias("__c"), F.first("__n").alias("__n"), F.first("__t").alias("__t"), F.first("low").alias("low"), F.first("high").alias("high"))
+    both = attach(top, hit, [*by, "q"], "left")
+    tail = F.col("__m") + (F.col("high") - F.col("__m")) * F.coalesce(F.try_divide(F.col("__t") - F.col("__c"), F.col("__n") - F.col("__c")), F.lit(0.0))
+    return both.select(*by, "q", F.when(F.col("q") <= 0, F.col("low")).when(F.col("q") >= 1, F.col("high")).otherwise(F.coalesce("__v", tail)).alias("value"))
+
+
 def ddsketch(df: DataFrame, value: str, alpha: float = 0.01, by: Sequence[str] = ()) -> DataFrame:
     """(sign, key, count, lo, hi): logarithmic buckets of the finite values.
 

@@ -55,9 +55,16 @@ def padded_bounds(df: DataFrame, axes: Sequence[str], by: Sequence[str] = (), sh
     return good.groupBy(*by).agg(*out)
 
 
-def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Puts the row of each group beside its rows.  Without ``by`` there is one such row, which is broadcast."""
-    return df.join(small, list(by)) if by else df.join(F.broadcast(small))
+def attach(df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Puts the row of each group beside its rows; a null key is a group as any other.
+
+    Without ``by`` there is one such row, which is broadcast.
+    """
+    if not by:
+        return df.join(F.broadcast(small))
+    names = {k: f"__by_{k}" for k in by}
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return df.join(small.withColumnsRenamed(names), on, how).drop(*names.values())
 
 
 def mad(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFrame:

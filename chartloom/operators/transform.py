@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..sources.scratch import written
 from .stats import attach, finite_range
 
 
@@ -36,21 +38,31 @@ def sort_by_keys(df: DataFrame, keys: Sequence[str], index: str, descending: boo
     return df.orderBy(*((F.desc if descending else F.asc)(k) for k in keys), index)
 
 
-def global_position(df: DataFrame, order: Sequence[str], out: str = "position", buckets: int = 64) -> DataFrame:
-    """Numbers all rows from 0 in an order, without one task for all.
+def global_running(df: DataFrame, order: Sequence[str], sums: dict[str, Column], position: str = "position", ranges: int | None = None) -> DataFrame:
+    """Numbers all rows from 0 in an order and adds running sums, without one task for all.
 
-    Rows are dealt into ranges of the first ordering column by approximate
-    quantiles (at most ``buckets`` bounds come to the driver); a row's number is its rank in its
-    range plus the rows of the ranges before.  The first ordering column is a number or a time.
+    Rows are dealt into ranges of all ordering columns, as many as shuffles have partitions or ``ranges``, so that
+    a frequent value of the first is split by the others; they are sorted there and written once.  Numbers and sums are those
+    within the range plus those of the ranges before, of which there is one row each.
     """
-    key = S.epoch_seconds(order[0]) if dict(df.dtypes)[order[0]].startswith("timestamp") else S.col(order[0])
-    cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 4 * buckets)).first()[0] or []
-    cuts = sorted(set(cuts))
-    dealt = df.withColumn("__b", sum(((key > F.lit(float(c))).cast("int") for c in cuts), F.lit(0)))
-    counts = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
-    start = counts.withColumn("__s", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return dealt.join(F.broadcast(start), "__b").withColumn(out, F.col("__s") + rank - 1).drop("__b", "__s")
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select("*", *(c.alias(f"__s_{k}") for k, c in sums.items())).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Fixed value: the number of the partition is above bit 33 and the row's number there below.
+    held = written(dealt.withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    part, row = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    held = held.withColumn("__p", part)
+    each = held.groupBy("__p").agg(F.count("*").alias("__n"), *(F.sum(f"__s_{k}").alias(f"__t_{k}") for k in sums))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    start = each.select(F.col("__p").alias("__q"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__b{c}") for c in ("__n", *(f"__t_{k}" for k in sums))))
+    out = held.join(F.broadcast(start), F.col("__p") == F.col("__q"))
+    inside = Window.partitionBy("__p").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)
+    made = [(F.col("__b__n") + row).alias(position), *((F.col(f"__b__t_{k}") + F.sum(f"__s_{k}").over(inside)).alias(k) for k in sums)]
+    return out.select(*df.columns, *made)
+
+
+def global_position(df: DataFrame, order: Sequence[str], out: str = "position", ranges: int | None = None) -> DataFrame:
+    """Numbers all rows from 0 in an order, without one task for all (see ``global_running``)."""
+    return global_running(df, order, {}, out, ranges)
 
 
 def quantile_normalize(df: DataFrame, row: str, columns: Sequence[str]) -> DataFrame:
@@ -58,8 +70,11 @@ def quantile_normalize(df: DataFrame, row: str, columns: Sequence[str]) -> DataF
 
     Columns are ranked each for itself, NaN last and equals by row; a rank with a NaN has the mean NaN.
     """
-    long = df.select(row, F.explode(F.array(*(F.struct(F.lit(i).alias("c"), S.col(c).alias("v")) for i, c in enumerate(columns)))).alias("e")).select(row, "e.c", F.coalesce("e.v", F.lit(S.NAN)).alias("v"))
-    ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy("v", row)))
+    parts = []
+    for i, c in enumerate(columns):
+        one = df.select(F.col(row), F.lit(i).alias("c"), F.coalesce(S.col(c), F.lit(S.NAN)).alias("v"))
+        parts.append(global_position(one, ["v", row], "rank"))
+    ranked = reduce(DataFrame.unionByName, parts)
     means = ranked.groupBy("rank").agg(F.avg("v").alias("m"))
     back = ranked.join(means, "rank").groupBy(row).agg(*(F.max(F.when(F.col("c") == i, F.col("m"))).alias(c) for i, c in enumerate(columns)))
     return back

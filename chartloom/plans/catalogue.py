@@ -265,9 +265,9 @@ def filter_viewport(spark, sf_dir):
     return table(spark, sf_dir, "events").where("ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'").select("event_id", "value")
 
 
-@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 1000 AND 1400")
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 905 AND 930")
 def filter_range_part(spark, sf_dir):
-    return transform.filter_range(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 1000.0, 1400.0)
+    return transform.filter_range(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 905.0, 930.0)
 
 
 # --- series
@@ -462,14 +462,14 @@ def hll_registers(spark, sf_dir):
     return sketches.hll_registers(table(spark, sf_dir, "lineitem"), "l_partkey", 10)
 
 
-@query("SELECT true AS near FROM lineitem HAVING count(DISTINCT l_partkey) > 0")
+@query("SELECT count(DISTINCT l_partkey) AS exact, true AS near FROM lineitem")
 def hll_partkey(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     est = sketches.hll_estimate(sketches.hll_registers(li, "l_partkey", 10), 10).withColumnRenamed("estimate", "own")
     both = sketches.distinct_count(li, "l_partkey").join(F.broadcast(est)).join(F.broadcast(sketches.merge_distinct(sketches.distinct_sketch(li, "l_partkey", by=["l_returnflag"])).withColumnRenamed("estimate", "merged")))
     exact = li.agg(F.count_distinct("l_partkey").alias("exact"))
     off = lambda c: F.abs(F.col(c) / F.col("exact") - 1) < 0.15
-    return both.join(F.broadcast(exact)).select((off("estimate") & off("own") & off("merged")).alias("near"))
+    return both.join(F.broadcast(exact)).select("exact", (off("estimate") & off("own") & off("merged")).alias("near"))
 
 
 _CM = """e AS (SELECT v AS value, d.d::INT AS depth, (('0x' || substring(md5(d.d::VARCHAR || ':' || v::VARCHAR), 1, 12))::BIGINT % 256)::INT AS cell, n FROM (SELECT user_id AS v, count(*) AS n FROM events GROUP BY 1), range(4) d(d)),
@@ -487,30 +487,42 @@ def topk_partkey(spark, sf_dir):
     return sketches.top_k(table(spark, sf_dir, "lineitem"), "l_partkey", 10)
 
 
-@query("SELECT q, true AS near FROM (VALUES (0.1::DOUBLE), (0.5), (0.9)) t(q)")
+_QUANTILE_BOUNDS = " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, round(quantile_cont(value, {q - 0.02:.2f}), 6) AS a, round(quantile_cont(value, {q + 0.02:.2f}), 6) AS b, true AS near FROM events" for q in (0.1, 0.5, 0.9))
+
+
+@query(_QUANTILE_BOUNDS)
 def kll_value(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     got = sketches.kll(e, "value", [0.1, 0.5, 0.9])
     exact = stats.percentiles(e, "value", [8, 12, 48, 52, 88, 92])
     lim = exact.groupBy(F.round(F.col("p") / 100, 1).alias("q")).agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    return got.join(F.broadcast(lim), "q").select("q", F.col("value").between(F.col("a"), F.col("b")).alias("near"))
+    return rounded(got.join(F.broadcast(lim), "q").select("q", "a", "b", F.col("value").between(F.col("a"), F.col("b")).alias("near")), 6, "a", "b")
 
 
-@query("SELECT v AS value, true AS near FROM (VALUES (20::DOUBLE), (50), (80)) t(v)")
+@query("SELECT v AS value, round(count(*) FILTER (value <= v) / count(*), 6) AS exact, true AS near FROM events, (VALUES (20::DOUBLE), (50), (80)) t(v) GROUP BY v")
 def kll_rank_value(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     got = sketches.kll_ranks(e, "value", [20, 50, 80])
     exact = e.agg(F.array(*(F.struct(F.lit(float(v)).alias("value"), (F.count_if(F.col("value") <= v) / F.count("*")).alias("x")) for v in (20, 50, 80))).alias("e")).select(F.explode("e").alias("e")).select("e.*")
-    return got.join(F.broadcast(exact), "value").select("value", (F.abs(F.col("rank") - F.col("x")) < 0.05).alias("near"))
+    return got.join(F.broadcast(exact), "value").select("value", F.round("x", 6).alias("exact"), (F.abs(F.col("rank") - F.col("x")) < 0.05).alias("near"))
 
 
-@query("SELECT q, true AS near FROM (VALUES (0.1::DOUBLE), (0.5), (0.9)) t(q)")
+@query(_QUANTILE_BOUNDS)
 def approx_percentile_value(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     got = sketches.approx_percentiles(e, "value", [0.1, 0.5, 0.9])
     exact = stats.percentiles(e, "value", [8, 12, 48, 52, 88, 92])
     lim = exact.groupBy(F.round(F.col("p") / 100, 1).alias("q")).agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    return got.join(F.broadcast(lim), "q").select("q", F.col("value").between(F.col("a"), F.col("b")).alias("near"))
+    return rounded(got.join(F.broadcast(lim), "q").select("q", "a", "b", F.col("value").between(F.col("a"), F.col("b")).alias("near")), 6, "a", "b")
+
+
+@query(_QUANTILE_BOUNDS)
+def tdigest_value(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    got = sketches.tdigest_quantiles(sketches.tdigest(e, "value"), [0.1, 0.5, 0.9])
+    exact = stats.percentiles(e, "value", [8, 12, 48, 52, 88, 92])
+    lim = exact.groupBy(F.round(F.col("p") / 100, 1).alias("q")).agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    return rounded(got.join(F.broadcast(lim), "q").select("q", "a", "b", F.col("value").between(F.col("a"), F.col("b")).alias("near")), 6, "a", "b")
 
 
 @query("SELECT event_id, value FROM events ORDER BY md5(event_id::VARCHAR || ':7'), event_id LIMIT 64")
@@ -521,9 +533,9 @@ def reservoir_value(spark, sf_dir):
 # --- space
 
 
-@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 1000 AND 1500")
+@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 905 AND 940")
 def bbox2d_parts(spark, sf_dir):
-    return spatial.bbox(table(spark, sf_dir, "part"), ("p_size", "p_retailprice"), (10, 1000), (20, 1500)).select("p_partkey")
+    return spatial.bbox(table(spark, sf_dir, "part"), ("p_size", "p_retailprice"), (10, 905), (20, 940)).select("p_partkey")
 
 
 @query("SELECT count(*) AS count FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_extendedprice BETWEEN 20000 AND 40000 AND l_discount BETWEEN 0.02 AND 0.05")
@@ -531,9 +543,9 @@ def bbox3d_count(spark, sf_dir):
     return spatial.bbox(table(spark, sf_dir, "lineitem"), ("l_quantity", "l_extendedprice", "l_discount"), (10, 20000, 0.02), (20, 40000, 0.05)).agg(F.count("*").alias("count"))
 
 
-@query("SELECT p_partkey FROM part WHERE (p_size - 25) * (p_size - 25) + (p_retailprice - 1200) * (p_retailprice - 1200) <= 900")
+@query("SELECT p_partkey FROM part WHERE (p_size - 25) * (p_size - 25) + (p_retailprice - 915) * (p_retailprice - 915) <= 100")
 def radius_parts(spark, sf_dir):
-    return spatial.radius(table(spark, sf_dir, "part"), "p_size", "p_retailprice", 25, 1200, 30).select("p_partkey")
+    return spatial.radius(table(spark, sf_dir, "part"), "p_size", "p_retailprice", 25, 915, 10).select("p_partkey")
 
 
 @query("SELECT p_partkey, round((p_size - 25)::DOUBLE * (p_size - 25) + (p_retailprice - 1200) * (p_retailprice - 1200), 4) AS d2 FROM part ORDER BY (p_size - 25)::DOUBLE * (p_size - 25) + (p_retailprice - 1200) * (p_retailprice - 1200), p_partkey LIMIT 12")
@@ -645,6 +657,26 @@ def shape_vector(spark, sf_dir):
     return rounded(out.select("event_type", F.posexplode("shape").alias("dim", "value")), 6, "value").withColumn("value", F.col("value") + 0.0)
 
 
+# Of 16 dimensions: 4 bins of values, 6 of steps, trend, volatility, spikes, smoothness and 2 lags.
+_FORM = """v AS (SELECT event_type, value AS v, row_number() OVER w - 1 AS i, lag(value) OVER w AS p, lead(value) OVER w AS x FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+    o AS (SELECT event_type, count(*) AS n, min(v) AS lo, max(v) - min(v) AS r, avg(v) AS m, stddev_samp(v) AS s, min(v - p) AS dlo, max(v - p) - min(v - p) AS dr, regr_slope(v, i) AS slope, avg(abs(x - 2 * v + p)) AS bend FROM v GROUP BY 1),
+    j AS (SELECT * FROM v JOIN o USING (event_type)),
+    lags AS (SELECT a.event_type, k, abs(sum((a.v - a.m) * (b.v - b.m)) / any_value(a.s * a.s * (a.n - 1))) AS c FROM (SELECT *, unnest([1, 2]) AS k FROM j) a JOIN j b ON a.event_type = b.event_type AND b.i = a.i + ceil(a.k / 2 * (a.n // 4)) GROUP BY 1, 2),
+    tanh_of AS (SELECT event_type, n, s, m, (1 - exp(-2 * slope / s)) / (1 + exp(-2 * slope / s)) AS t, (1 - exp(-2 * s / abs(m))) / (1 + exp(-2 * s / abs(m))) AS vol, bend / r AS bend FROM o)"""
+
+
+@query(f"""WITH {_FORM}, c AS (
+    SELECT event_type, b AS dim, count(*) FILTER (least(floor((v - lo) / r * 4), 3) = b) / any_value(n) AS value FROM j, range(4) t(b) GROUP BY 1, 2
+    UNION ALL SELECT event_type, 4 + b, count(*) FILTER (p IS NOT NULL AND least(floor((v - p - dlo) / dr * 6), 5) = b) / any_value(n - 1) FROM j, range(6) t(b) GROUP BY 1, 2
+    UNION ALL SELECT event_type, 10, (t + 1) / 2 FROM tanh_of UNION ALL SELECT event_type, 11, vol FROM tanh_of
+    UNION ALL SELECT event_type, 12, count(*) FILTER (abs(v - m) > 2 * s) / any_value(n) FROM j GROUP BY 1
+    UNION ALL SELECT event_type, 13, 1 / (1 + bend * 100) FROM tanh_of UNION ALL SELECT event_type, 13 + k, c FROM lags)
+    SELECT event_type, dim::INT AS dim, round(value, 6) + 0 AS value FROM c""")
+def feature_vector(spark, sf_dir):
+    out = analysis.feature_vector(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"])
+    return rounded(out.select("event_type", F.posexplode("features").alias("dim", "value")), 6, "value").withColumn("value", F.col("value") + 0.0)
+
+
 @query(f"WITH {_SHAPE} SELECT p.event_type AS a, q.event_type AS b, floor(list_dot_product(p.shape, q.shape) / (sqrt(list_dot_product(p.shape, p.shape)) * sqrt(list_dot_product(q.shape, q.shape))) * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS similarity FROM v p JOIN v q ON p.event_type < q.event_type")
 def shape_similarity(spark, sf_dir):
     v = analysis.shape_vector(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"])
@@ -678,7 +710,7 @@ def tumbling_stats(spark, sf_dir):
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of the files that are there."""
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 @query(ORACLES["tumbling_stats"])

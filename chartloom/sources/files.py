@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import finite
 
 MAX_BYTES = 100 * 1024 * 1024
-DENIED = (".ssh", ".gnupg", ".aws", ".kube", ".docker", ".npmrc", ".netrc", ".env", "id_rsa", "id_ed25519", "shadow", "passwd", "credentials", ".pem")
-"""Parts of paths that are never read."""
+# What a path may not hold, in any case.
+DENIED = re.compile(
+    r"/\.ssh/|/\.aws/|/\.env|/\.git/|/\.gnupg/|/\.config/gh/|\.pem$|\.key$|\.p12$|\.pfx$|/etc/passwd|/etc/shadow|credentials|secrets?\.|/\.kube/|/\.docker/|/\.npmrc|/\.netrc|id_rsa|id_ed25519", re.I
+)
 
 
 class PathError(ValueError):
@@ -22,7 +25,7 @@ class PathError(ValueError):
 def guard(path: str, allowed: Sequence[str] = (), limit: int = MAX_BYTES) -> str:
     """The real path of a local file, or PathError: outside the allowed folders, denied, missing, no file, too large."""
     real = os.path.realpath(path)
-    if any(d in real for d in DENIED):
+    if DENIED.search(real) or DENIED.search(os.path.abspath(path)):
         raise PathError(f"access to {path} is denied")
     if allowed and not any(real == os.path.realpath(a) or real.startswith(os.path.realpath(a).rstrip("/") + "/") for a in allowed):
         raise PathError(f"{path} is outside the allowed folders {list(allowed)}")
@@ -84,3 +87,16 @@ def interleave(df: DataFrame, order: Sequence[str], values: Sequence[str], by: S
     """(by..., packed): x0, y0, x1, y1 and so on, as one array of doubles."""
     one = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order)), F.array(*(F.col(v).cast("double") for v in values)).alias("v")))).alias("__r"))
     return one.select(*by, F.flatten(F.col("__r.v")).alias("packed"))
+
+
+def deinterleave(df: DataFrame, packed: str, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., names...): the arrays that ``interleave`` put into one; of an incomplete last group nothing is kept."""
+    k = len(names)
+    full = F.floor(F.size(packed) / k).cast("int")
+    places = F.when(full > 0, F.sequence(F.lit(0), full - 1)).otherwise(F.array().cast("array<int>"))
+
+    def every(at: int) -> Column:
+        return F.transform(places, lambda i: F.get(packed, i * k + at))
+
+    cells = [every(at).alias(n) for at, n in enumerate(names)]
+    return df.select(*by, *cells)

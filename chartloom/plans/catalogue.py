@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import analysis, binning, downsample, series, sketches, spatial, stats, transform
+from ..sources import files
+from ..sources.scratch import fresh
 from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -731,3 +733,149 @@ def stream_rolling(spark, sf_dir):
           SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS count, round(avg(value), 6) AS mean FROM s GROUP BY user_id, s""")
 def session_windows(spark, sf_dir):
     return rounded(incremental.session_stats(table(spark, sf_dir, "events"), "ts", "value", "2 hours", by=("user_id",)), 6, "mean")
+
+
+# --- forms of input and output, other rule sets, handles and states
+
+
+@query("SELECT count(*) AS count, min(value) AS min, max(value) AS max, round(sum(value), 4) AS total FROM events WHERE event_id % 10 > 3")
+def finite_values(spark, sf_dir):
+    """NaN, infinities and nulls among the values count for nothing."""
+    k = F.col("event_id") % 10
+    odd = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 2, F.lit(float("-inf"))).when(k > 3, F.col("value"))
+    e = table(spark, sf_dir, "events").select(odd.alias("value"))
+    return e.where(S.finite("value")).agg(F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT p_partkey, p_partkey AS x, p_size::BIGINT AS y, p_partkey % 2048 AS u, p_size::BIGINT AS v, 7::BIGINT AS w FROM part")
+def morton_decoded(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", S.morton2(F.col("p_partkey"), F.col("p_size")).alias("a"), S.morton3(F.col("p_partkey") % 2048, F.col("p_size"), F.lit(7)).alias("b"))
+    x, y = S.unmorton2(F.col("a"))
+    u, v, w = S.unmorton3(F.col("b"))
+    return p.select("p_partkey", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), w.alias("w"))
+
+
+@query("SELECT l_returnflag, count(*) AS count FROM lineitem WHERE l_quantity BETWEEN 9.5 AND 30.5 AND l_extendedprice BETWEEN 20000.005 AND 60000.005 AND l_discount BETWEEN 0.015 AND 0.065 GROUP BY 1")
+def frustum_mvp(spark, sf_dir):
+    """The view of a matrix that maps a box to the cube from -1 to 1."""
+    low, high = (9.5, 20000.005, 0.015), (30.5, 60000.005, 0.065)
+    scale = [2 / (b - a) for a, b in zip(low, high)]
+    shift = [-(a + b) / (b - a) for a, b in zip(low, high)]
+    mvp = [scale[0], 0, 0, 0, 0, scale[1], 0, 0, 0, 0, scale[2], 0, *shift, 1]
+    return spatial.frustum_cull(table(spark, sf_dir, "lineitem"), ("l_quantity", "l_extendedprice", "l_discount"), mvp=mvp).groupBy("l_returnflag").agg(F.count("*").alias("count"))
+
+
+@query(f"""WITH {EV}, d AS (SELECT x - lag(x) OVER (ORDER BY ts, event_id) AS d FROM ev), s AS (SELECT count(*) AS n, avg(value) AS m, stddev_samp(value) AS s FROM ev),
+          k AS (SELECT count(*) FILTER (abs(value - m) > 2 * s) / any_value(n) AS share, any_value(n) AS n FROM ev, s), e AS (SELECT stddev_samp(d) < 0.1 * avg(d) AS even, min(d) < 0 AS down FROM d)
+          SELECT CASE WHEN down THEN 'm4' WHEN share > 0.05 THEN 'minmax_lttb' ELSE 'lttb' END AS algorithm, 1920::BIGINT AS target, CASE WHEN n > 100000 THEN 'quadtree' ELSE 'none' END AS spatial_index, even AND n > 1000 AS streaming, n FROM k, e""")
+def auto_configure_events(spark, sf_dir):
+    made = analysis.auto_configure(events(spark, sf_dir), "x", "value", ["ts", "event_id"])
+    names = ("algorithm", "target", "spatial_index", "streaming", "n")
+    return spark.createDataFrame([tuple(made[c] for c in names)], "algorithm string, target long, spatial_index string, streaming boolean, n long")
+
+
+@query(f"""WITH {EV}, s AS (SELECT count(*) AS n, avg(value) AS m, stddev_samp(value) AS s, regr_slope(value, x) AS slope, regr_r2(value, x) AS r2 FROM ev),
+          k AS (SELECT count(*) FILTER (abs(value - m) > 2 * s) AS spikes FROM ev, s)
+          SELECT n, CASE WHEN spikes / n > 0.1 THEN 'volatile' WHEN r2 > 0.3 THEN CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END ELSE 'stable' END AS trend, round(slope, 9) AS slope, round(r2, 6) AS r2, spikes,
+                 CASE WHEN s / abs(m) > 0.5 THEN 'high' WHEN s / abs(m) > 0.2 THEN 'moderate' ELSE 'low' END AS volatility FROM s, k""")
+def series_words(spark, sf_dir):
+    made = analysis.summarize_series(events(spark, sf_dir), "x", "value", ["ts", "event_id"])
+    names = ("n", "trend", "slope", "r2", "spikes", "volatility")
+    out = spark.createDataFrame([tuple(made[c] for c in names)], "n long, trend string, slope double, r2 double, spikes long, volatility string")
+    return rounded(rounded(out, 9, "slope"), 6, "r2")
+
+
+@query("""WITH s AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS r, avg(l_quantity) AS mx, stddev_samp(l_quantity) AS sx, avg(l_extendedprice) AS my, stddev_samp(l_extendedprice) AS sy FROM lineitem)
+          SELECT any_value(n) AS n, round(any_value(r), 6) AS correlation, count(*) FILTER (abs(l_quantity - mx) > 2 * sx AND abs(l_extendedprice - my) > 2 * sy) AS outliers FROM lineitem, s""")
+def scatter_summary(spark, sf_dir):
+    made = analysis.summarize_scatter(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return rounded(spark.createDataFrame([(made["n"], made["correlation"], made["outliers"])], "n long, correlation double, outliers long"), 6, "correlation")
+
+
+@query(ORACLES["m4_events"])
+def auto_downsample_scatter(spark, sf_dir):
+    return _out(analysis.auto_downsample(events(spark, sf_dir), "x", "value", 400, "event_id", hint="scatter"))
+
+
+@query(ORACLES["minmax_lttb_events"])
+def auto_downsample_sensor(spark, sf_dir):
+    return _out(analysis.auto_downsample(events(spark, sf_dir), "x", "value", 100, "event_id", hint="sensor"))
+
+
+def _delimited(spark: SparkSession, sf_dir: str) -> str:
+    """orders as delimited text: a third of the prices have letters after the number, a third are no number."""
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    k = F.col("o_orderkey") % 3
+    path = fresh(spark, "delimited")
+    table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(" key "), F.when(k == 1, F.concat(price, F.lit("abc"))).when(k == 2, F.lit("none")).otherwise(price).alias("price")).write.option("header", True).option("sep", ";").csv(path)
+    return path
+
+
+@query("SELECT o_orderkey::DOUBLE AS x, round(o_totalprice, 2) AS y FROM orders WHERE o_orderkey % 3 <> 2")
+def load_delimited_orders(spark, sf_dir):
+    return files.load_delimited(spark, _delimited(spark, sf_dir), "key", "price", ";")[0]
+
+
+@query("SELECT 'key,price' AS columns, count(*) AS row_count, count(*) FILTER (o_orderkey % 3 <> 2) AS rows, count(*) FILTER (o_orderkey % 3 = 2) AS skipped_rows FROM orders")
+def inspect_delimited_orders(spark, sf_dir):
+    path = _delimited(spark, sf_dir)
+    seen, (rows, skipped) = files.inspect_delimited(spark, path, ";"), files.load_delimited(spark, path, "key", "price", ";")[1].first()
+    return spark.createDataFrame([(",".join(seen["columns"]), seen["row_count"], rows, skipped)], "columns string, row_count long, rows long, skipped_rows long")
+
+
+@query("SELECT to_json(struct_pack(n_nationkey := n_nationkey, n_name := n_name, n_regionkey := n_regionkey))::VARCHAR AS json FROM nation")
+def json_nations(spark, sf_dir):
+    return files.to_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS pos, n_nationkey::DOUBLE AS x, n_nationkey * 0.5::DOUBLE AS y FROM nation")
+def packed_nations(spark, sf_dir):
+    """Points as one array a region, x0, y0, x1 and so on, and out of it again."""
+    n = table(spark, sf_dir, "nation").withColumn("half", F.col("n_nationkey") * F.lit(0.5))
+    back = files.deinterleave(files.interleave(n, ["n_nationkey"], ["n_nationkey", "half"], ["n_regionkey"]), "packed", ["x", "y"], ["n_regionkey"])
+    return back.select("n_regionkey", F.posexplode(F.arrays_zip("x", "y")).alias("pos", "p")).select("n_regionkey", "pos", "p.x", "p.y")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 30 AND p_retailprice BETWEEN 902 AND 925")
+def registry_range(spark, sf_dir):
+    """Points registered under a name and asked by it."""
+    held = spatial.IndexRegistry()
+    held.build("parts", table(spark, sf_dir, "part"), ("p_size", "p_retailprice"), "p_partkey", cache=False)
+    return held.query_range("parts", (5, 902), (30, 925)).select("p_partkey")
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, sign(value)::INT AS sign, CASE WHEN value = 0 THEN 0 ELSE ceil(ln(abs(value)) / ln(1.02::DOUBLE / 0.98::DOUBLE)) END::INT AS bucket, count(*) AS count FROM events GROUP BY 1, 2, 3""".replace("time_bucket(INTERVAL 1 DAY, ts)", "make_timestamp((epoch_us(ts) // 86400000000) * 86400000000)"))
+def stream_log_buckets(spark, sf_dir):
+    """States of a stream's windows that add up to those of any longer one."""
+    out = incremental.log_buckets_by_window(_stream(spark, sf_dir), "ts", "value", "1 day", accuracy=0.02, late="1 day")
+    return incremental.run_available(out, "complete")
+
+
+@query("""SELECT make_timestamp((epoch_us(ts) // 86400000000) * 86400000000) AS start, count(*) AS count, true AS near FROM events GROUP BY 1""")
+def stream_quantiles(spark, sf_dir):
+    """KLL states of a stream's windows: their counts, and whether their medians lie between the quartiles."""
+    got = incremental.run_available(incremental.quantiles_by_window(_stream(spark, sf_dir), "ts", "value", "1 day", late="1 day"), "complete")
+    e = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start")).agg(F.percentile("value", F.lit(0.25)).alias("a"), F.percentile("value", F.lit(0.75)).alias("b"))
+    return got.join(e, "start").select("start", F.kll_sketch_get_n_double("sketch").alias("count"), F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).between(F.col("a"), F.col("b")).alias("near"))
+
+
+def _each_batch(stream: DataFrame, sink) -> None:
+    out = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{fresh(stream.sparkSession, 'stream')}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+
+
+@query(ORACLES["append_downsample"])
+def stream_redraw(spark, sf_dir):
+    """A bounded buffer that each batch of a stream is added to, and its LTTB."""
+    shown = fresh(spark, "shown")
+    stream = _stream(spark, sf_dir).withColumn("x", S.epoch_seconds("ts"))
+    _each_batch(stream, incremental.redraw(fresh(spark, "buffer"), "x", "value", "event_id", 3000, 80, lambda points, number: points.write.mode("overwrite").parquet(f"{shown}/{number}")))
+    return _out(spark.read.parquet(f"{shown}/0"))
+
+
+@query(ORACLES["anomaly_types"])
+def stream_anomalies(spark, sf_dir):
+    """Anomalies of each batch of a stream; here one batch has all rows."""
+    shown = fresh(spark, "shown")
+    _each_batch(_stream(spark, sf_dir), incremental.flag_batches("value", ("ts", "event_id"), 2.5, lambda found, number: found.write.mode("overwrite").parquet(f"{shown}/{number}")))
+    return spark.read.parquet(f"{shown}/0").select("event_id", F.col("position").cast("long").alias("position"), "z_score", "type")

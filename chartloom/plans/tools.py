@@ -228,8 +228,26 @@ def shape_similarity(spark, a, b):
 
 
 PROMPTS = {
+    "optimize_chart": """A chart {chart_width} pixels wide is to show {data_size} points. Find out how to draw it:
+1. Ask `capabilities` what this session runs on.
+2. Run `auto_downsample` with {chart_width} as the threshold, to see which algorithm suits the series.
+3. For a point cloud rather than a series, run `bin2d` for a density map too.
+4. Run `stats` for the range and the spread of the values.
+5. Say which algorithm to use, how many times fewer points it leaves, and whether a density map shows more than points.""",
+    "profile_data": """The data: {data_description}
+Describe it and say how to show it:
+1. Run `stats` with the percentiles 10, 25, 50, 75, 90, 95 and 99.
+2. For two axes, run `bin2d` for the density.
+3. From skew, outliers and clusters conclude the kind of chart (line, points, density map or histogram), whether and how to
+   downsample, and the ranges and scales (linear or logarithmic) of the axes.""",
+    "migration_guide": """Data is prepared for charts like this today: {current_approach}
+Move it to this engine:
+1. Name the tool or operator that takes the place of each step.
+2. Show the code before and after.
+3. Run `benchmark` for what to expect of the speed.
+4. Point out where results or arguments differ.
+5. Say what changes between one machine and a cluster.""",
     "analyze_series": "Load {path}, summarize it, look for anomalies and change points, and say what stands out.",
-    "optimize_chart": "For {n} points on a screen {width} wide, choose a downsampling algorithm and say why.",
     "compare_series": "Compare the shapes of {a} and {b} and describe how they differ.",
 }
 """Prompts offered beside the tools."""

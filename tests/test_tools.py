@@ -28,7 +28,7 @@ def test_every_tool_runs(spark, tmp_path):
     assert got["detect_anomalies"]["anomalies"][0]["index"] == 50 and got["load_file"]["skipped_rows"] == 0
     assert got["shape_similarity"]["similarity"] == 1 and len(got["shape_similarity"]["shapes"]["a"]) == 16
     json.loads(tools.call_json(spark, "parse_query", query="trend"))
-    assert tools.resources(reg)["indexes"] == ["a", "b"] and "wide" in tools.prompt("optimize_chart", n=5, width=100)
+    assert tools.resources(reg)["indexes"] == ["a", "b"] and "100 pixels wide" in tools.prompt("optimize_chart", data_size=5, chart_width=100)
 
 
 def test_errors(spark):

@@ -51,7 +51,8 @@ def count_min(df: DataFrame, value: str, width: int = 1024, depth: int = 5, weig
     """(depth, cell, total): the counter table of a count-min sketch, without empty cells."""
     w = F.col(weight) if weight else F.lit(1).cast("long")
     width, depth = width or 1024, depth or 5
-    rows = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(w).alias("w"))
+    # Each task sums at most width x depth counters before anything is dealt out.
+    rows = df.where(F.col(value).isNotNull()).select(w.alias("w"), value)
     rows = rows.select("w", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("depth"), F.col(value))
     return rows.groupBy("depth", cell(value, width, F.col("depth")).alias("cell")).agg(F.sum("w").alias("total"))
 

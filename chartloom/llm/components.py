@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, tidy
 
 ONE_TASK = 500_000
 """Edges (8 MB) that one task may finish by union-find; more are first contracted by all tasks."""
@@ -49,7 +49,7 @@ def connected(edges: DataFrame, scratch: Scratch, tag: str, one_task: int = ONE_
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), f"{tag}0")
     if now.count() <= one_task:
-        return scratch.keep(now.coalesce(1).mapInArrow(_finish, "node long, root long"), f"{tag}roots")
+        return scratch.keep(now.coalesce(1).mapInArrow(tidy(_finish), "node long, root long"), f"{tag}roots")
     mark, step = None, 0
     while True:
         step += 1

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from . import words as W
 from .components import connected
-from .scratch import Scratch
+from .scratch import Scratch, tidy
 
 
 def max_partner(size: int, percent: int) -> int:
@@ -431,6 +431,18 @@ def _cross(percent: int):
     """
     names = ["sig", "node", "size", "root", "rank", "over", *SKETCH]
 
+    def likely(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, ordered: bool) -> np.ndarray:
+        ok = t["root"][i] != t["root"][j]
+        if ordered:
+            ok &= t["over"][i] <= t["over"][j]
+        i, j = i[ok], j[ok]
+        a, b = t["size"][i], t["size"][j]
+        ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+        differ = sum(np.bitwise_count(t[k][i] ^ t[k][j]).astype(np.int64) for k in SKETCH)
+        ok &= differ <= a + b - 2 * -(-percent * (a + b) // (100 + percent))
+        a, b = t["node"][i[ok]], t["node"][j[ok]]
+        return np.stack([np.maximum(a, b), np.minimum(a, b)], 1)
+
     def pairs(t: dict[str, np.ndarray], old: int) -> pa.RecordBatch:
         """``old`` rows at the start have been paired with each other."""
         n = len(t["sig"])
@@ -440,20 +452,15 @@ def _cross(percent: int):
         edge = start[:, None] + np.concatenate([np.zeros((len(start), 1), np.int64), np.cumsum(np.stack([np.bincount(group, t["rank"] == r, len(start)) for r in range(4)], 1), 1).astype(np.int64)], 1)
         edge = edge[group]
         linked, core = np.flatnonzero(t["rank"] == LINKED), np.flatnonzero(t["rank"] == CORE)
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         for rows, first, last, ordered in ((linked, edge[linked, 1], edge[linked, 4], False), (core, core + 1, edge[core, 2], False), (core, edge[core, 2], edge[core, 3], True)):
-            i, j = _ranges(np.maximum(first, old), last)
-            i = rows[i]
-            ok = t["root"][i] != t["root"][j]
-            if ordered:
-                ok &= t["over"][i] <= t["over"][j]
-            i, j = i[ok], j[ok]
-            a, b = t["size"][i], t["size"][j]
-            ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
-            differ = sum(np.bitwise_count(t[k][i] ^ t[k][j]).astype(np.int64) for k in SKETCH)
-            ok &= differ <= a + b - 2 * -(-percent * (a + b) // (100 + percent))
-            a, b = t["node"][i[ok]], t["node"][j[ok]]
-            found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
+            first = np.maximum(first, old)
+            total = np.concatenate([[0], np.cumsum(np.maximum(last - first, 0))])
+            # In parts of about so many pairs, however many rows a bucket has.
+            cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + 1, 200_000), "left").clip(0, len(rows)))
+            for x, y in zip(cuts, np.append(cuts[1:], len(rows))):
+                i, j = _ranges(first[x:y], last[x:y])
+                found.append(likely(t, rows[x:y][i], j, ordered))
         out = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["a", "b"])
 
@@ -615,7 +622,7 @@ class NgramJaccardJoin:
         spark, keep = docs.sparkSession, scratch.keep
         src = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), self._rid().alias("rid"), F.col(self.text_col).alias("text"))
         run, schema = _describe(self.shingle, self.percent)
-        described = keep(src.mapInArrow(run, schema), "described")
+        described = keep(src.mapInArrow(tidy(run), schema), "described")
         plan, upto, clash, reps = self._plan(described, scratch)
         if clash:
             other = F.expr(" OR ".join(f"(node = {k} AND twin <> {v})" for k, v in clash.items()))
@@ -625,10 +632,10 @@ class NgramJaccardJoin:
         words = bloom.words_for(reps.count())
         some = bloom.flagged(src.drop("doc_id"), "rid", bloom.of(reps, "rid", words), words, "maybe").where("maybe").select("text")
         run, schema = _publish(self.shingle, self.percent, upto, plan, clash)
-        rows = some.mapInArrow(run, schema).select(F.explode("sigs").alias("sig"), "node", "size")
+        rows = some.mapInArrow(tidy(run), schema).select(F.explode("sigs").alias("sig"), "node", "size")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         met = rows.repartition(parts, "sig").sortWithinPartitions("sig", "node")
-        met = keep(met.mapInArrow(_meet, "sig long, node long, size long, lead long"), "met")
+        met = keep(met.mapInArrow(tidy(_meet), "sig long, node long, size long, lead long"), "met")
         nodes = met.select("node").distinct()
         words = bloom.words_for(nodes.count())
         brief = bloom.flagged(described.where("size > 0"), "node", bloom.of(nodes, "node", words), words, "maybe").where("maybe")
@@ -718,7 +725,7 @@ class _Work:
         parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = side.where("not large").join(self.brief.select("node", "size", *SKETCH), "node")
         rows = rows.select("lead", "sig", "node", "size", "root", "rank", "over", *SKETCH).repartition(parts, dealt[0]).sortWithinPartitions(*dealt, "rank")
-        return self.scratch.keep(rows.mapInArrow(_cross(self.percent), "a long, b long"), name)
+        return self.scratch.keep(rows.mapInArrow(tidy(_cross(self.percent)), "a long, b long"), name)
 
     def split(self, large: DataFrame, turn: int) -> DataFrame:
         """(node, lead, pivot, linked, keys, marks): members of large buckets, the pivots they were compared with, and the keys of their next buckets.
@@ -738,13 +745,13 @@ class _Work:
         sets = self.sets(tries.select("node").distinct(), name)
         full = tries.join(sets, "node")
         some = tries.withColumn("k", F.expr("row_number() OVER (PARTITION BY lead ORDER BY xxhash64(node), node)")).where(F.col("k") <= VOTES)
-        centres = some.join(sets, "node").groupBy("lead").agg(F.collect_list("items").alias("some")).mapInArrow(_majority, "lead long, centre binary")
+        centres = some.join(sets, "node").groupBy("lead").agg(F.collect_list("items").alias("some")).mapInArrow(tidy(_majority), "lead long, centre binary")
         run, schema = _differ(self.percent)
-        differ = keep(full.join(keep(centres, f"{name}_centres"), "lead").select("node", "lead", "items", "centre").mapInArrow(run, schema), f"{name}_differ")
+        differ = keep(full.join(keep(centres, f"{name}_centres"), "lead").select("node", "lead", "items", "centre").mapInArrow(tidy(run), schema), f"{name}_differ")
         pivots = differ.groupBy("lead").agg(F.min(F.struct("over", "node", "size", "differ")).alias("p"))
         pivots = keep(pivots.select("lead", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.differ").alias("pivot_differ")), f"{name}_pivots")
         run, schema = _cut(self.percent)
-        out = keep(differ.join(pivots, "lead").select("node", "lead", "size", "over", "differ", "pivot", "pivot_size", "pivot_differ").mapInArrow(run, schema), name)
+        out = keep(differ.join(pivots, "lead").select("node", "lead", "size", "over", "differ", "pivot", "pivot_size", "pivot_differ").mapInArrow(tidy(run), schema), name)
         self.scratch.drop(*(f"{name}_{x}" for x in ("tries", "nodes", "sets", "centres", "differ", "pivots")))
         return out
 
@@ -756,7 +763,7 @@ class _Work:
         some = bloom.flagged(self.src, "rid", bloom.of(wanted.select("rid"), "rid", words), words, "maybe").where("maybe")
         texts = some.select("rid", "text").join(wanted, "rid").select("node", "text")
         run, schema = _sets(self.shingle, self.clash)
-        return keep(texts.mapInArrow(run, schema).dropDuplicates(["node"]), f"{name}_sets")
+        return keep(texts.mapInArrow(tidy(run), schema).dropDuplicates(["node"]), f"{name}_sets")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link: those that wide sketches leave possible, compared by their whole sets."""
@@ -764,10 +771,10 @@ class _Work:
         wide = pairs.join(brief.select(F.col("node").alias("a"), F.col("size").alias("left_size"), F.col("wide").alias("left_wide")), "a")
         wide = wide.join(brief.select(F.col("node").alias("b"), F.col("size").alias("right_size"), F.col("wide").alias("right_wide")), "b")
         wide = wide.select("a", "b", "left_size", "right_size", "left_wide", "right_wide")
-        near = keep(wide.mapInArrow(_possible(self.percent), "a long, b long"), f"{name}_near")
+        near = keep(wide.mapInArrow(tidy(_possible(self.percent)), "a long, b long"), f"{name}_near")
         sets = self.sets(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), name)
         full = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left_items")), "a")
         full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right_items")), "b")
-        out = keep(full.select("a", "b", "left_items", "right_items").mapInArrow(_verify(self.percent), "a long, b long"), name)
+        out = keep(full.select("a", "b", "left_items", "right_items").mapInArrow(tidy(_verify(self.percent)), "a long, b long"), name)
         self.scratch.drop(f"{name}_near", f"{name}_nodes", f"{name}_sets")
         return out

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import tidy
+
 
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
@@ -40,5 +42,5 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, each:
         model = fit([seen[k] for k in keys], [k[1] for k in keys], share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    made = rows.repartition(1).mapInArrow(tidy(run), "model binary").first()
     return pickle.loads(made["model"]) if made else fit([], [], share)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, tidy
 
 ISLAND = 16_384
 """Pieces of an island, about: islands are dealt by hash."""
@@ -54,7 +54,7 @@ class Encoder:
     Texts with other runs of spaces are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import json
 
         import tiktoken
@@ -305,7 +305,7 @@ class SequencePacker:
 
     def pieces(self, docs: DataFrame) -> DataFrame:
         run, schema = _pieces(self.path, self.capacity, self.end)
-        return docs.select(F.col(self.id_col).cast("long"), F.col(self.text_col)).mapInArrow(run, schema)
+        return docs.select(F.col(self.id_col).cast("long"), F.col(self.text_col)).mapInArrow(tidy(run), schema)
 
     def pack(self, docs: DataFrame) -> DataFrame:
         """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""

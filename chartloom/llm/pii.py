@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import words as W
-from .scratch import Scratch
+from .scratch import Scratch, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -210,7 +210,7 @@ class PiiFinder:
         scratch = Scratch(spark)
         src = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).alias("text"))
         shape = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts array<struct<pattern:long,instance:long,place:long,till:long,seed:boolean>>"
-        rows = scratch.keep(src.mapInArrow(_extract, shape), "rows")
+        rows = scratch.keep(src.mapInArrow(tidy(_extract), shape), "rows")
         added = self.added(src, rows.select("row", F.explode("contexts").alias("c")).select("row", "c.*"), scratch)
         spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "extra").alias("spans")
         extra = added.groupBy("row").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_set(F.struct("place", "till"))), lambda s: F.concat_ws(":", F.lit("ident"), s["place"], s["till"]))).alias("extra"))
@@ -229,7 +229,7 @@ class PiiFinder:
             return contexts.where("false").select("row", "place", "till")
         bits = np.zeros(words, np.uint64)
         bits[[r["word"] for r in table]] = np.array([r["bits"] for r in table], np.int64).view(np.uint64)
-        near = src.select("text").mapInArrow(_background(bits), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+        near = src.select("text").mapInArrow(tidy(_background(bits)), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
         weight = many.join(near, "pattern", "left")
         weight = scratch.keep(weight.select("pattern", (F.col("held") / F.greatest("held", F.coalesce("n", "held"))).alias("exact")), "weight")
         score = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("s"))

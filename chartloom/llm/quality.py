@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .labelled import remainder, train
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, small_batches, tidy
 
 BUCKETS = 1 << 14
 DIMS = 32
@@ -214,9 +214,9 @@ class QualityClassifier:
     def vectors(self, docs: DataFrame) -> np.ndarray:
         """Unit context vectors by bucket: words first, then shapes.  A fixed number of bytes."""
         scratch = Scratch(docs.sparkSession)
-        sums = scratch.keep(docs.select("text").mapInArrow(_vectors, "sums binary"), "sums")
+        sums = scratch.keep(docs.select("text").mapInArrow(tidy(_vectors), "sums binary"), "sums")
         for width in (64, 1):
-            sums = scratch.keep(sums.coalesce(width).mapInArrow(_add, "sums binary"), f"sums{width}")
+            sums = scratch.keep(sums.coalesce(width).mapInArrow(tidy(_add), "sums binary"), f"sums{width}")
         row = sums.first()
         total = np.frombuffer(row["sums"], "<i8").reshape(-1, DIMS).astype(np.float32) if row else np.zeros((2 * BUCKETS, DIMS), np.float32)
         norm = np.sqrt((total * total).sum(1, keepdims=True))
@@ -234,7 +234,7 @@ class QualityClassifier:
         model = self.train(docs, labels, vectors)
         held = F.coalesce(remainder(F.col("doc_id"), self.folds) == self.held, F.lit(False))
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-        return src.mapInArrow(_scorer(model, vectors, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double, predicted int")
+        return src.mapInArrow(tidy(_scorer(model, vectors, ["doc_id", "held_out"])), "doc_id long, held_out boolean, score double, predicted int")
 
     def filter(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """``docs`` without the rows that the classifier rejects; all columns stay."""
@@ -243,7 +243,7 @@ class QualityClassifier:
         model = self.train(docs, labels, vectors)
         score = f"{'_'.join(docs.columns)}_score"
         run = _judge(model, vectors, score)
-        kept = docs.mapInArrow(run, docs.select("*", F.lit(True).alias(score)).schema)
+        kept = docs.mapInArrow(tidy(run), docs.select("*", F.lit(True).alias(score)).schema)
         return kept.where(score).drop(score)
 
 

@@ -7,11 +7,15 @@ in local tests, a folder of this process is used and set.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = "chartloom"
@@ -54,6 +58,41 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         gc.collect()
         jvm.System.gc()
+        _trim_driver(self.spark)
+
+
+def _trim_driver(spark: SparkSession) -> None:
+    """Hands native memory that the driver's JVM has freed back to the system, where the JVM can."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # The server's class is not open; its interface is.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        args = array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, args)
+    except Py4JError:
+        pass
+
+
+def tidy(run: Callable[[Any], Iterator]) -> Callable[[Any], Iterator]:
+    """A function for ``mapInArrow`` after whose last batch the worker hands freed memory back to the system.
+
+    Workers are kept for later tasks, and their memory counts as the executor's.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, tidy
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -232,11 +232,11 @@ class SecretScanner:
         scratch = Scratch(docs.sparkSession)
         one = "array<struct<kind:string,place:long,till:long,value:string>>"
         shape = f"row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, known {one}, open {one}"
-        rows = scratch.keep(docs.select(F.col(self.id_col).cast("long"), F.col(self.text_col)).mapInArrow(_extract, shape), "rows")
+        rows = scratch.keep(docs.select(F.col(self.id_col).cast("long"), F.col(self.text_col)).mapInArrow(tidy(_extract), shape), "rows")
         values = rows.select(F.explode("known").alias("k")).select("k.kind", "k.value").distinct()
         samples: dict[str, list[str]] = {}
         for kind in KINDS:
             some = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(self.sample)
             samples[kind] = [r["value"] for r in some.collect()]
         automata = train(samples)
-        return rows.mapInArrow(_score(automata, self.least_ratio), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+        return rows.mapInArrow(tidy(_score(automata, self.least_ratio)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

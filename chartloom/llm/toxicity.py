@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .labelled import remainder, train
-from .scratch import small_batches
+from .scratch import small_batches, tidy
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -178,4 +178,4 @@ class ToxicityClassifier:
         small_batches(docs.sparkSession)
         held = F.coalesce(remainder(F.col("doc_id"), self.folds) == self.held, F.lit(False))
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-        return src.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
+        return src.mapInArrow(tidy(_scorer(model)), "doc_id long, held_out boolean, score double, predicted int")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .scratch import Scratch
+from .scratch import Scratch, tidy
 
 DICTIONARY_MAGIC = 0x184D2A5D
 """Fixed value of the format: the skippable frame that holds a dictionary."""
@@ -245,10 +245,10 @@ class WarcArchive:
         first = F.col("page_id").eqNullSafe(F.col("best"))
         same = same.select(*shape, F.when(first, "response").otherwise("revisit").alias("kind"), F.when(~first, F.col("best")).alias("ref"))
         run = _writer(self.folder, self.dictionary(pages, count), self.level, self.date)
-        return self.scratch.keep(alone.union(same).mapInArrow(run, "archive string, records long"), "manifest")
+        return self.scratch.keep(alone.union(same).mapInArrow(tidy(run), "archive string, records long"), "manifest")
 
     def read(self, manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         """A row for each record of the archives; WarcError where one is not valid."""
         shape = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
         spread = manifest.repartition(max(1, manifest.count()), "archive")
-        return spread.mapInArrow(_reader(self.folder, with_payload), shape + ", payload binary" * with_payload)
+        return spread.mapInArrow(tidy(_reader(self.folder, with_payload)), shape + ", payload binary" * with_payload)

@@ -1,8 +1,6 @@
-import corpus_pipeline
+from pyspark.sql import functions as F
 
-from chartloom.llm.exact_dedup import ExactDedup
-from chartloom.llm.packing import SequencePacker
-from chartloom.llm.queries import tokenizer_path
+import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +28,24 @@ def test_stages_chain(spark):
     assert sorted(map(key, whole)) == sorted(map(key, seen["pack"]))
 
 
+def test_stages_of_odd_rows(spark):
+    """Null ids and texts, repeated rows, ties and columns whose names clash: columns stay, and each stage's rule holds."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(30)
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (None, "", "en", "s", 0), (5, None, "en", "s", 0)], base.schema)
+    docs = base.union(base).union(odd).withColumns({"rid": F.lit(1), "_rid": F.lit(2), "key": F.lit(3), "row": F.lit(4), "gone": F.lit(5), "score": F.lit(6)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert set(rows) <= {tuple(r) for r in docs.collect()}
+        if name == "exact_dedup":
+            assert len(rows) == len({r["text"] or "" for r in docs.collect()})
+        if name == "near_dedup":
+            assert len({r[:2] for r in rows if r[1]}) == sum(1 for r in rows if r[1]) and sum(1 for r in rows if not r[1]) == 3
+    assert corpus_pipeline.pack(spark, docs, SF).count() >= docs.count()
+
+
 def test_empty_input(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    assert ExactDedup().deduplicate(docs).count() == 0
-    assert SequencePacker(tokenizer_path()).pack(docs).count() == 0
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0

@@ -60,14 +60,14 @@ class BenchmarkDecontamination:
     ``clean``, whatever their names.  Empty tables give an empty result.
     """
 
-    def __init__(self, window: int = 5, stride: int = 1, literals: int = 2, percent: int = 80, passage: int = 13, broadcast_windows: int = 1_000_000):
-        self.window, self.stride, self.literals, self.percent, self.passage, self.most = window, stride, literals, percent, passage, broadcast_windows
+    def __init__(self, window: int = 5, literals: int = 2, percent: int = 80, passage: int = 13, broadcast_windows: int = 1_000_000):
+        self.window, self.literals, self.percent, self.passage, self.most = window, literals, percent, passage, broadcast_windows
 
-    def _windows(self, words: Column, stride: int, kind: int) -> Column:
-        """Hashes of the windows of an array of words; template words (kind 0) and words as they are but for case (1) never meet."""
-        last = F.size(words) - self.window
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(kind), F.slice(words, i + 1, self.window)))
+    def _windows(self, hashes: Column, kind: int) -> Column:
+        """Hashes of the windows of an array of word hashes; template words (kind 0) and words as they are but for case (1) never meet."""
+        last = F.size(hashes) - self.window
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(kind), *(F.get(hashes, i + k) for k in range(self.window))))
 
     def _found(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """(row, doc_id, item, item_id, size, covered, slots, changed, quoted): contaminated pairs of rows and items."""
@@ -76,23 +76,25 @@ class BenchmarkDecontamination:
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain(F.col("text")).alias("raw"))
         items = items.select("item_id", F.split("raw", " ").alias("raw"), F.split(template(F.col("raw")), " ").alias("tpl")).where(F.size("tpl") >= self.window)
         items = scratch.keep(items.select(F.xxhash64("item_id", "raw").alias("item"), "item_id", "raw", "tpl").dropDuplicates(["item"]), "items")
-        spots = items.select("item", "tpl", F.posexplode(self._windows(F.col("tpl"), 1, 0)).alias("at", "hash"))
+        hashed = items.select("item", "tpl", F.transform("tpl", lambda w: F.xxhash64(w)).alias("h0"), F.transform("raw", lambda w: F.xxhash64(F.lower(w))).alias("h1"))
+        spots = hashed.select("item", "tpl", F.posexplode(self._windows(F.col("h0"), 0)).alias("at", "hash"))
         marks = F.aggregate(F.slice("tpl", F.col("at") + 1, self.window), F.lit(0), lambda n, w: n + F.when(w.isin(NUMBER, NAME, UNIT), 0).otherwise(1))
         spots = spots.where(marks >= self.literals).select("item", "at", "hash", F.lit(0).alias("kind"))
-        low = F.transform("raw", F.lower)
-        spots = scratch.keep(spots.unionByName(items.select("item", F.posexplode(self._windows(low, 1, 1)).alias("at", "hash"), F.lit(1).alias("kind"))), "spots")
+        spots = scratch.keep(spots.unionByName(hashed.select("item", F.posexplode(self._windows(F.col("h1"), 1)).alias("at", "hash"), F.lit(1).alias("kind"))), "spots")
         near = spots.count() <= self.most
 
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("text is not null")
         src = src.withColumn("row", _row("doc_id", "text"))
         tpl = src.select("row", plain(F.col("text")).alias("raw"))
         tpl = tpl.select("row", F.split(template(F.col("raw")), " ").alias("tpl"), F.split(F.lower("raw"), " ").alias("raw"))
-        tpl = tpl.select("row", self._windows(F.col("tpl"), self.stride, 0).alias("w0"), self._windows(F.col("raw"), self.stride, 1).alias("w1"))
+        # Each word is hashed once, a window from five hashes.
+        tpl = tpl.select("row", F.transform("tpl", lambda w: F.xxhash64(w)).alias("h0"), F.transform("raw", lambda w: F.xxhash64(w)).alias("h1"))
+        tpl = tpl.select("row", self._windows(F.col("h0"), 0).alias("w0"), self._windows(F.col("h1"), 1).alias("w1"))
         # Both kinds in one list: template windows, then as many of words as they are.
         there = tpl.select("row", F.size("w0").alias("m"), F.posexplode(F.concat("w0", "w1")).alias("n", "hash"))
         side = F.broadcast(spots) if near else spots
         place = F.col("n") - F.when(F.col("kind") == 1, F.col("m")).otherwise(0)
-        met = there.join(side, "hash").select("row", "item", (place * self.stride - F.col("at")).cast("int").alias("shift"), "kind")
+        met = there.join(side, "hash").select("row", "item", (place - F.col("at")).cast("int").alias("shift"), "kind")
         met = scratch.keep(met.groupBy("row", "item", "shift").agg(F.min("kind").alias("kind")), "met")
 
         rows = met.select("row").distinct()

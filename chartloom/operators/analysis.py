@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col, cosine, finite, half_up
 from . import downsample, series
-from .stats import attach, clusters, correlation, hotspots, moments, outliers_2d, regression, spikes
+from .stats import attach, clusters, correlation, hotspots, medians, moments, outliers_2d, regression, spikes
 
 
 def summarize(df: DataFrame, x: str, y: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -27,9 +27,10 @@ def summarize(df: DataFrame, x: str, y: str, order: Sequence[str], by: Sequence[
     good = df.where(finite(x, y)).select(*by, *order, col(x).alias("__x"), col(y).alias("__y"))
     point = F.struct(*order)
     one = good.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min("__y").alias("min"), F.max("__y").alias("max"), F.avg("__y").alias("mean"), F.median("__y").alias("median"), F.stddev_pop("__y").alias("stddev"),
+        F.count("*").alias("n"), F.min("__y").alias("min"), F.max("__y").alias("max"), F.avg("__y").alias("mean"), F.stddev_pop("__y").alias("stddev"),
         F.coalesce(F.nanvl(F.skewness("__y"), F.lit(0.0)), F.lit(0.0)).alias("skewness"), F.coalesce(F.regr_slope("__y", "__x"), F.lit(0.0)).alias("slope"), (F.max_by("__x", point) - F.min_by("__x", point)).alias("span"),
     )
+    one = attach(one, medians(good, "__y", by), by)
     spike = attach(good, one.select(*by, "mean", "stddev"), by).groupBy(*by).agg(F.count_if(F.abs(F.col("__y") - F.col("mean")) > 2 * F.col("stddev")).alias("spikes"))
     odd = series.anomalies(good, "__y", order, by).groupBy(*by).agg(F.count("*").alias("anomalies"))
     out = attach(one, spike, by)

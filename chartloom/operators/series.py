@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalar import col, finite, half_up
-from .stats import attach
+from .stats import attach, medians
 from .transform import global_running
 
 
@@ -129,9 +129,10 @@ def anomalies(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str]
     """
     w = _over(by, order)
     good = df.where(finite(value)).withColumn("__v", col(value))
-    med = good.groupBy(*by).agg(F.median("__v").alias("__med"), F.count("*").alias("__n"))
+    count = good.groupBy(*by).agg(F.count("*").alias("__n"))
+    med = attach(count, medians(good, "__v", by, "__med"), by)
     dev = attach(good, med, by).withColumn("__a", F.abs(F.col("__v") - F.col("__med")))
-    spread = dev.groupBy(*by).agg(F.median("__a").alias("__mad"), F.avg("__a").alias("__aad"))
+    spread = attach(dev.groupBy(*by).agg(F.avg("__a").alias("__aad")), medians(dev, "__a", by, "__mad"), by)
     unit = F.when(F.col("__mad") == 0, F.col("__aad")).otherwise(F.col("__mad"))
     z = F.when(unit != 0, 0.6745 * (F.col("__v") - F.col("__med")) / unit)
     if mode == "strict_mad":

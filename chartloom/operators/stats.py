@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,15 +31,85 @@ def stats(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFra
     )
 
 
+def ranked(df: DataFrame, value: str | Column, ranks: Sequence[int], bins: int = 4096) -> dict[int, float]:
+    """The finite values of given ranks, from 0, in order: exact, and in passes that count.
+
+    A pass counts the rows in ``bins`` equal parts of each stretch that still holds a rank asked for, and leaves the part
+    with it, narrowed to its own least and greatest value; it is done when these are one.  The driver gets
+    one row a part, so that its share does not grow with the data; a pass makes stretches some thousand times shorter.
+    """
+    v = df.where(finite(value)).select(col(value).cast("double").alias("__v"))
+    n, low, high = v.agg(F.count("*"), F.min("__v"), F.max("__v")).first()
+    # Stretches by bounds: the number of rows below, and the ranks in them.
+    todo = {(low, high): (0, sorted({k for k in ranks if 0 <= k < n}))} if n else {}
+    found: dict[int, float] = {}
+    while todo:
+        for (lo, hi), (_, ks) in list(todo.items()):
+            if lo == hi:
+                found |= dict.fromkeys(ks, lo)
+                del todo[lo, hi]
+        if not todo:
+            break
+        spans = sorted(todo)
+        part = F.lit(None).cast("int")
+        for i, (lo, hi) in reversed(list(enumerate(spans))):
+            # Halves first, as the width of the widest stretch is no finite number.
+            at = F.floor((F.col("__v") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins)
+            part = F.when(F.col("__v").between(lo, hi), F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)) + i * bins).otherwise(part).cast("int")
+        rows = v.select(part.alias("p"), "__v").where("p is not null").groupBy("p").agg(F.count("*").alias("n"), F.min("__v").alias("a"), F.max("__v").alias("b")).collect()
+        todo = {k: x for k, x in todo.items() if k not in spans} | _narrowed(rows, spans, todo, bins)
+    return found
+
+
+def _narrowed(rows: list, spans: list[tuple[float, float]], todo: dict, bins: int) -> dict:
+    out = {}
+    for i, span in enumerate(spans):
+        below, ks = todo[span]
+        for r in sorted((r for r in rows if r["p"] // bins == i), key=lambda r: r["p"]):
+            if mine := [k for k in ks if below <= k < below + r["n"]]:
+                out[r["a"], r["b"]] = below, mine
+            below += r["n"]
+    return out
+
+
+ONE_BUFFER = 200_000
+"""Values (3 MB) up to which one aggregate holds them all; more are selected by counting.  Results are the same."""
+
+
+def quantiles(df: DataFrame, value: str | Column, at: Sequence[float]) -> list[float]:
+    """Exact quantiles of the finite values with linear interpolation; NaN without values."""
+    good = df.where(finite(value))
+    n = good.count()
+    if n <= ONE_BUFFER:
+        found = good.agg(F.percentile(col(value), F.array(*(F.lit(float(q)) for q in at)))).first()[0]
+        return list(found) if found else [NAN] * len(at)
+    place = [q * (n - 1) for q in at]
+    have = ranked(df, value, [k for p in place for k in (math.floor(p), math.ceil(p))])
+    return [have[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * have[math.floor(p)] + (p - math.floor(p)) * have[math.ceil(p)] for p in place]
+
+
 def percentiles(df: DataFrame, value: str | Column, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(p, value): exact percentiles of the finite values with linear interpolation; NaN without values."""
+    """(p, value): exact percentiles of the finite values with linear interpolation; NaN without values.
+
+    Without ``by`` by counting (see ``ranked``); with it, one aggregate holds the values of a group.
+    """
     held = [min(100.0, max(0.0, float(p))) for p in at]
+    if not by:
+        return df.sparkSession.createDataFrame([(float(p), v) for p, v in zip(at, quantiles(df, value, [p / 100 for p in held]))], "p double, value double")
     v = F.when(finite(value), col(value))
     one = df.groupBy(*by).agg(F.percentile(v, F.array(*(F.lit(p / 100) for p in held))).alias("__q"))
     pairs = F.array(*(F.struct(F.lit(float(p)).alias("p"), F.coalesce(F.col("__q")[i], F.lit(NAN)).alias("value")) for i, p in enumerate(at)))
     return one.select(*by, F.explode(pairs).alias("__e")).select(*by, "__e.*")
 
 
+def medians(df: DataFrame, value: str | Column, by: Sequence[str] = (), out: str = "median") -> DataFrame:
+    """The median of the finite values of each group; one row without ``by``, null without values."""
+    if by:
+        return df.where(finite(value)).groupBy(*by).agg(F.median(col(value)).alias(out))
+    v = quantiles(df, value, [0.5])[0]
+    return df.sparkSession.createDataFrame([(None if v != v else v,)], f"`{out}` double")
+
+
 def finite_range(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """(min, max) of the finite values; NULL without any."""
     v = F.when(finite(value), col(value))
@@ -70,8 +141,11 @@ def attach(df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner
 def mad(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """(median, mad): the median, and the median distance from it, of the finite values."""
     good = df.where(finite(value)).withColumn("__v", col(value))
-    med = good.groupBy(*by).agg(F.median("__v").alias("median"))
-    return attach(good, med, by).groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col("__v") - F.col("median"))).alias("mad"))
+    med = medians(good, "__v", by)
+    if by:
+        return attach(good, med, by).groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col("__v") - F.col("median"))).alias("mad"))
+    middle = med.first()["median"]
+    return med.withColumn("mad", F.lit(None if middle is None else quantiles(good, F.abs(F.col("__v") - F.lit(middle)), [0.5])[0]).cast("double"))
 
 
 def moments(df: DataFrame, value: str | Column, by: Sequence[str] = (), mode: str = "population") -> DataFrame:

@@ -69,6 +69,20 @@ def test_positions_of_frequent_values_and_nulls(spark):
     assert transform.global_position(df.limit(0), ["v", "i"]).count() == 0
 
 
+def test_quantiles_by_counting(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.lognormal(0, 4, 3000), np.full(500, 7.25), -rng.random(400) * 1e-300, [1e308, -1e308, 0.0]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),), (math.inf,), (None,)], "v double").repartition(3)
+    order = np.sort(values)
+    assert stats.ranked(df, "v", [0, 1, 450, 2000, len(values) - 1, len(values)]) == {k: order[k] for k in (0, 1, 450, 2000, len(values) - 1)}
+    want = [r["value"] for r in stats.percentiles(df, "v", [0, 12.5, 50, 99, 100]).collect()]
+    monkeypatch.setattr(stats, "ONE_BUFFER", 0)
+    assert [r["value"] for r in stats.percentiles(df, "v", [0, 12.5, 50, 99, 100]).collect()] == want
+    assert math.isnan(stats.percentiles(df.limit(0), "v", [50]).first()["value"]) and stats.mad(df.limit(0), "v").first()["median"] is None
+    got = stats.mad(df, "v").first()
+    assert got["median"] == np.median(values) and abs(got["mad"] - np.median(np.abs(values - np.median(values)))) < 1e-12
+
+
 def test_morton_codes_and_back(spark):
     rng = np.random.default_rng(1)
     rows = [tuple(int(x) for x in rng.integers(0, 1 << 21, 3)) for _ in range(300)] + [(0, 0, 0), ((1 << 21) - 1,) * 3]

@@ -4,7 +4,7 @@ A window of n words can repeat only if each of its parts does.  So windows are
 first judged by parts of n / 4 words, those that survive by parts of n / 2, and
 those that survive by all n words; each level counts only what the level
 before found repeated, and the levels end where nothing survives.  Whole windows are equal
-when 96 bits of hashes over their words are.
+when 80 bits of hashes over their words are.
 
 At the levels below n a window is judged by one part: the one with the least
 hash of all its parts of that length.  Equal windows have equal least parts, so
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import words as W
-from .scratch import Scratch
+from .scratch import Scratch, tidy
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -177,15 +177,15 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What ``repeated`` leaves, without the keys."""
     for batch in repeated(batches):
-        yield batch.select(["seq", "place"])
+        yield batch.select(["num", "place"])
 
 
 def _extend(window: int, before: int, length: int):
-    """Texts with the repeated keys of the level before: the parts of the next level.
+    """Numbered texts with the repeated keys of the level before: the parts of the next level.
 
-    Windows of the whole length are told apart by 32 bits more.
+    Windows of the whole length are told apart by 16 bits more.
     """
-    names = ["key", "check", "seq", "place", "known"]
+    names = ["key", "check", "num", "place", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,16 +195,16 @@ def _extend(window: int, before: int, length: int):
                 _, least = p.least(before)
                 key, at = p.chosen(length, p.valid & np.isin(least, known))
                 owner = np.searchsorted(w.first, at, "right") - 1
-                seq = batch.column("seq").slice(a, b - a).to_numpy()[owner]
-                check = np.zeros(len(at), np.int32)
+                num = batch.column("num").slice(a, b - a).to_numpy()[owner]
+                check = np.zeros(len(at), np.int16)
                 if length == window:
                     # Another sum over the words' hashes.
                     other = W.Words.windows(_Mixed(w), window)[0][at]
-                    check = (other >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                more = surplus(key ^ W.mix(check.view(np.uint32).astype(np.uint64), 7))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check), pa.array(seq), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(more)], names=names)
+                    check = (other >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                more = surplus(key ^ W.mix(check.view(np.uint16).astype(np.uint64), 7))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check), pa.array(num), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(more)], names=names)
 
-    return run, "key long, check int, seq long, place int, known boolean"
+    return run, "key long, check smallint, num long, place int, known boolean"
 
 
 class _Mixed:
@@ -258,11 +258,11 @@ class SubstringDedup:
         n, steps = self.window, levels(self.window)
         src = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), self._rid().alias("rid"), F.col(self.text_col).alias("text"))
         run, shape = _describe(n, steps[0])
-        full = scratch.keep(src.mapInArrow(run, shape), "full")
+        full = scratch.keep(src.mapInArrow(tidy(run), shape), "full")
         rows = full.select("seq", F.explode("parts").alias("key"), F.lit(False).alias("known"))
         rows = rows.union(full.where("size(known) > 0").select("seq", F.explode("known").alias("key"), F.lit(True).alias("known")))
-        rows = rows.select("key", F.lit(0).alias("check"), "seq", "known")
-        found = scratch.keep(self._repeated(rows, repeated, "key long, check int, seq long"), "level0")
+        rows = rows.select("key", F.lit(0).cast("smallint").alias("check"), "seq", "known")
+        found = scratch.keep(self._repeated(rows, repeated, "key long, check smallint, seq long"), "level0")
         described = scratch.keep(full.drop("parts", "known"), "described")
         scratch.drop("full")
         keys = found.groupBy("seq").agg(F.collect_set("key").alias("keys"))
@@ -272,24 +272,25 @@ class SubstringDedup:
         words = bloom.words_for(held.count())
         some = bloom.flagged(src.drop("doc_id"), "rid", bloom.of(held.select("rid"), "rid", words), words, "maybe").where("maybe").select("text")
         run, shape = _named()
-        work = scratch.keep(some.mapInArrow(run, shape).dropDuplicates(["seq"]), "work")
+        # Small numbers stand for the sequences from here on: rows of windows are narrower.
+        work = scratch.keep(some.mapInArrow(tidy(run), shape).dropDuplicates(["seq"]).withColumn("num", F.monotonically_increasing_id()), "work")
 
         for i, (before, length) in enumerate(zip(steps, steps[1:]), 1):
             run, shape = _extend(n, before, length)
-            rows = work.join(keys, "seq").select("seq", "text", "keys").mapInArrow(run, shape)
+            rows = work.join(keys, keys.columns[0]).select("num", "text", "keys").mapInArrow(tidy(run), shape)
             if length == n:
-                found = self._repeated(rows, places, "seq long, place int")
+                found = self._repeated(rows, places, "num long, place int")
             else:
-                found = self._repeated(rows.drop("place"), repeated, "key long, check int, seq long")
+                found = self._repeated(rows.drop("place"), repeated, "key long, check smallint, num long")
             found = scratch.keep(found, f"level{i}")
             scratch.drop(f"level{i - 1}")
-            keys = found.groupBy("seq").agg(F.collect_set("key").alias("keys")) if length < n else None
-            if found.isEmpty():
+            if length == n or found.isEmpty():
                 break
-        at = found.groupBy("seq").agg(F.collect_list("place").alias("places")) if keys is None else found.select("seq", F.array().cast("array<int>").alias("places"))
+            keys = found.groupBy("num").agg(F.collect_set("key").alias("keys"))
+        at = found.groupBy("num").agg(F.collect_list("place" if "place" in found.columns else F.lit(None).cast("int")).alias("places"))
         copies = described.groupBy("seq").agg(F.count("*").alias("copies")).where("copies > 1").withColumnRenamed("seq", "cseq")
         run, shape = _remove(n, with_text)
-        removed = work.join(at, "seq").select("seq", "text", "places").mapInArrow(run, shape)
+        removed = work.join(at, "num").select("seq", "text", "places").mapInArrow(tidy(run), shape)
         return described.join(copies, F.expr("seq = cseq"), "left").drop("cseq"), removed
 
     def _rid(self) -> Column:
@@ -298,8 +299,8 @@ class SubstringDedup:
 
     def _repeated(self, rows: DataFrame, run, shape: str) -> DataFrame:
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartition(2 * parts, F.when(F.col("known"), F.xxhash64("seq", "key")).otherwise(F.col("key")))
-        return dealt.sortWithinPartitions("key", "check").mapInArrow(run, shape)
+        dealt = rows.repartition(2 * parts, F.when(F.col("known"), F.xxhash64(rows.columns[2], "key")).otherwise(F.col("key")))
+        return dealt.sortWithinPartitions("key", "check").mapInArrow(tidy(run), shape)
 
     def report(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256), a row for each row of ``docs``."""

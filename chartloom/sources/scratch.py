@@ -31,10 +31,12 @@ def shared(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session ends."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared(spark)}/{name}-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
+    """A new path in a folder of its own in the shared folder, which goes when the session's JVM ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{folder.toString()}/t"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -35,12 +35,16 @@ def shared(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run of an operator; ``drop`` removes one that is not needed any more."""
+    """Tables of one run of an operator; ``drop`` removes one that is not needed any more, the end of the JVM all."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         small_batches(spark)
         self.root = f"{shared(spark)}/{_ROOT}/{uuid.uuid4().hex}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

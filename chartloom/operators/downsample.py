@@ -21,12 +21,12 @@ from .transform import global_position
 def _points(df: DataFrame, x: str, y: str, tie: str, by: Sequence[str]) -> DataFrame:
     """(by..., x, y, tie, i, n): finite points, their position in the series and its length."""
     src = df.where(finite(x, y)).select(*by, col(x).alias("x"), col(y).alias("y"), F.col(tie).alias("tie"))
-    if by:
-        src = src.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("x", "tie")) - 1)
-    else:
+    if not by:
         src = global_position(src, ["x", "tie"], "i")
-    count = src.groupBy(*by).agg(F.count("*").alias("n"))
-    return attach(src, count, by)
+        # A literal, so that the branch for short series or that for long ones leaves the plan.
+        return src.withColumn("n", F.lit(src.count()).cast("long"))
+    src = src.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("x", "tie")) - 1)
+    return attach(src, src.groupBy(*by).agg(F.count("*").alias("n")), by)
 
 
 def bucket(i: str, buckets: str) -> Column:

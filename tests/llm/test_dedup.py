@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chartloom.llm.components import connected
 from chartloom.llm.exact_dedup import ExactDedup
-from chartloom.llm.jaccard_join import NgramJaccardJoin, bands, difference, excess, max_difference, max_partner, plan_band, plans, prefixes
+from chartloom.llm.jaccard_join import NgramJaccardJoin, bands, difference, excess, identities, max_difference, max_partner, plan_band, plans, prefixes
 from chartloom.llm.scratch import Scratch
 from chartloom.llm.substring_dedup import SubstringDedup
 
@@ -157,6 +157,14 @@ def test_join_of_null_and_repeated_ids(spark):
     assert join.components(df.limit(0)).count() == join.deduplicate(df.limit(0)).count() == 0
 
 
+def test_clashing_identities_are_told_apart():
+    value, ends = np.array([1, 2, 3, 1, 2, 4], np.uint64), np.array([0, 3, 6])
+    node, twin = identities(value, ends, {})
+    assert node[0] != node[1] and twin[0] != twin[1]
+    named, _ = identities(value, ends, {int(node[0]): int(twin[0]), int(node[1]): int(twin[1]) + 1})
+    assert named[0] == node[0] and named[1] not in node
+
+
 def test_distributed_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]

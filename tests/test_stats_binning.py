@@ -89,7 +89,7 @@ def test_sorts_and_positions(spark):
     assert [r["idx"] for r in transform.sort_values(v, "v", "idx").collect()] == [2, 0, 3, 1]
     assert [r["idx"] for r in transform.sort_values(v, "v", "idx", descending=True).collect()] == [1, 0, 3, 2]
     many = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), "id")
-    out = transform.global_position(many, ["k", "id"], buckets=16).orderBy("k", "id").collect()
+    out = transform.global_position(many, ["k", "id"], ranges=16).orderBy("k", "id").collect()
     assert [r["position"] for r in out] == list(range(5000))
 
 

@@ -630,12 +630,15 @@ def embedding_cosine_topk(spark, sf_dir):
 @query(f"""WITH {EV}, o AS (SELECT event_type, count(*) AS n, min(value) AS min, max(value) AS max, avg(value) AS mean, median(value) AS median, stddev_pop(value) AS sd, regr_slope(value, x) AS slope, arg_max(x, x) - min(x) AS span FROM ev GROUP BY 1),
           k AS (SELECT event_type, avg(((value - mean) / sd) ** 3) AS skew, count(*) FILTER (WHERE abs(value - mean) > 2 * sd) AS spikes FROM ev JOIN o USING (event_type) GROUP BY 1),
           a AS (SELECT event_type, median(abs(value - median)) AS mad FROM ev JOIN o USING (event_type) GROUP BY 1),
-          z AS (SELECT event_type, count(*) FILTER (WHERE abs(0.6745::DOUBLE * (value - median) / mad) > 3) AS anomalies FROM ev JOIN o USING (event_type) JOIN a USING (event_type) GROUP BY 1)
-          SELECT event_type, n, CASE WHEN sd / abs(mean) > 1 THEN 'volatile' WHEN slope * span / sd > 0.5 THEN 'increasing' WHEN slope * span / sd < -0.5 THEN 'decreasing' ELSE 'stable' END AS trend,
-          floor(mean * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS mean, floor(median * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS median, floor(sd * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS stddev, floor(skew * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS skewness, spikes, anomalies FROM o JOIN k USING (event_type) JOIN z USING (event_type)""")
+          z AS (SELECT event_type, count(*) FILTER (WHERE abs(0.6745::DOUBLE * (value - median) / mad) > 3) AS anomalies FROM ev JOIN o USING (event_type) JOIN a USING (event_type) GROUP BY 1),
+          t AS (SELECT event_type, CASE WHEN sd / abs(mean) > 1 THEN 'volatile' WHEN slope * span / sd > 0.5 THEN 'increasing' WHEN slope * span / sd < -0.5 THEN 'decreasing' ELSE 'stable' END AS trend FROM o)
+          SELECT event_type, n, trend,
+          floor(mean * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS mean, floor(median * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS median, floor(sd * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS stddev, floor(skew * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS skewness, spikes, anomalies, round(max - min, 6) AS range,
+          printf('Dataset: %d points spanning %.1f days. Trend: %s (slope %.4f). Range: [%.2f, %.2f], mean %.2f, stddev %.2f. %d spikes, %d anomalies detected.', n, span / 86400, trend, slope, min, max, mean, sd, spikes, anomalies) AS summary
+          FROM o JOIN k USING (event_type) JOIN z USING (event_type) JOIN t USING (event_type)""")
 def series_summary(spark, sf_dir):
     out = analysis.summarize(events(spark, sf_dir), "x", "value", ["ts", "event_id"], ["event_type"])
-    return out.select("event_type", "n", "trend", "mean", "median", "stddev", "skewness", "spikes", "anomalies")
+    return rounded(out, 6, "range").select("event_type", "n", "trend", "mean", "median", "stddev", "skewness", "spikes", "anomalies", "range", "summary")
 
 
 @query("""WITH d AS (SELECT event_type, abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS d FROM events)

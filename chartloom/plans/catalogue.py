@@ -6,6 +6,7 @@ Derived doubles are rounded on both sides, as engines sum in different orders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -619,8 +620,13 @@ def embedding_cosine_topk(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("probe"), F.col("v").alias("p"))
-    s = e.join(F.broadcast(q) if q.count() <= 10_000 else q, F.col("vec_id") != F.col("probe")).select("probe", "vec_id", S.cosine(F.col("p"), F.col("v")).alias("similarity"))
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("similarity"), "vec_id"))).where("rank <= 5")
+    # Blocks of about a thousand queries, each broadcast to all rows; a query is in one block.
+    blocks, found = -(-q.count() // 1000) or 1, []
+    for b in range(blocks):
+        some = q.where(F.pmod(F.xxhash64("probe"), F.lit(blocks)) == b)
+        s = e.join(F.broadcast(some), F.col("vec_id") != F.col("probe")).select("probe", "vec_id", S.cosine(F.col("p"), F.col("v")).alias("similarity"))
+        found.append(s.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("similarity"), "vec_id"))).where("rank <= 5"))
+    r = reduce(DataFrame.unionByName, found)
     return rounded(r, 6, "similarity")
 
 

@@ -65,11 +65,11 @@ def summarize_for_prompt(df: DataFrame, x: str, y: str, order: Sequence[str], sc
     )
 
 
-def auto_optimize(df: DataFrame, x: str, y: str, order: Sequence[str], by: Sequence[str] = (), screen: int = 1920) -> DataFrame:
+def auto_optimize(df: DataFrame, x: str, y: str, order: Sequence[str], by: Sequence[str] = (), screen: int = 1920, stream_above: int | None = 500_000) -> DataFrame:
     """algorithm, target, bins, index, streaming window and speed-up for a series of each key.
 
     Not ascending over its first 1000 rows: M4, a quadtree and a grid; largest step more than ten
-    mean steps: MinMax + LTTB; else LTTB.  Above 500,000 points streaming is advised.
+    mean steps: MinMax + LTTB; else LTTB.  Above ``stream_above`` points streaming is advised; never with None.
     """
     w = Window.partitionBy(*by).orderBy(*order)
     rows = df.select(*by, F.row_number().over(w).alias("i"), (col(x) < F.lag(col(x)).over(w)).alias("down"), F.abs(col(y) - F.lag(col(y)).over(w)).alias("d"))
@@ -80,7 +80,7 @@ def auto_optimize(df: DataFrame, x: str, y: str, order: Sequence[str], by: Seque
     return one.select(
         *by, "n", F.when(~up, "m4").when(F.col("spike_ratio") > 10, "minmax_lttb").otherwise("lttb").alias("algorithm"), target.alias("target"),
         F.when(~up, F.least(F.lit(256), F.ceil(F.sqrt("n")))).cast("long").alias("bins"), F.when(~up, "quadtree").otherwise("none").alias("spatial_index"),
-        F.when(F.col("n") > 500_000, F.least(F.lit(100_000), F.col("n"))).cast("long").alias("window"),
+        F.when(F.lit(False) if stream_above is None else F.col("n") > stream_above, F.least(F.lit(100_000), F.col("n"))).cast("long").alias("window"),
         F.when(F.col("n") > target, half_up(F.try_divide(F.col("n").cast("double"), target), 1)).otherwise(1.0).alias("speedup"), "spike_ratio",
     )
 

@@ -42,6 +42,21 @@ def test_registered_query_equals_its_sql(spark, duck, name):
         assert rows == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_auto_optimize_of_long_series_equals_its_sql(spark, tmp_path):
+    """Series of more than 500,000 events too; the operator itself advises streaming for these."""
+    c = duckdb.connect()
+    c.sql(f"""COPY (SELECT e.* REPLACE (event_id + i * 1000000 AS event_id) FROM read_parquet('{SF}/events.parquet') e, range(1 + 501000 // (SELECT count(*) FROM read_parquet('{SF}/events.parquet') WHERE event_type = 'view')) r(i)
+              WHERE event_type = 'view' OR i = 0) TO '{tmp_path}/events.parquet'""")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    df = catalogue.QUERIES["auto_optimize"](spark, str(tmp_path))
+    columns = ", ".join(f'"{n}"' for n in df.columns)
+    want = c.sql(f"SELECT {columns} FROM ({catalogue.ORACLES['auto_optimize']})").fetchall()
+    assert max(r[1] for r in want) > 500_000 and len(want) > 1
+    assert sorted(tuple(map(plain, r)) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in want)
+    advised = analysis.auto_optimize(catalogue.events(spark, str(tmp_path)), "x", "value", ["ts", "event_id"], ["event_type"])
+    assert {r["event_type"]: r["window"] for r in advised.collect()} == {r[0]: 100_000 if r[1] > 500_000 else None for r in want}
+
+
 def test_null_keys_are_groups(spark):
     """A null key is a group of its own wherever a group's figures are put beside its rows."""
     rows = [(i, "a" if i % 2 else None, float(i % 7), float(i * i % 11)) for i in range(60)]
